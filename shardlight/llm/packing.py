@@ -171,6 +171,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("doc_id"), b.column("part"), pa.array(position.astype(np.int32)), b.column("length")], ["bin_id", "doc_id", "part", "position", "length"])
 
     order = Window.partitionBy("length", "sub").orderBy("doc_id", "part")
-    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "sub"])
+    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(offsets, ["length", "sub"])
     ranked = ranked.select(F.col("doc_id").cast("long").alias("doc_id"), "part", "length", (F.col("start") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(run, "bin_id long, doc_id long, part int, position int, length int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, idstore, minhash, mixing, packing, quality, repeats
+from . import chat, html, idstore, knn, media, minhash, mixing, packing, quality, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -37,9 +41,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprints(media.with_tones(table(spark, sf_dir, "embeddings")))
+
+
 def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_repeats, op3_pack, op5_near_duplicates, op6_mix_sources, op7_quality, op9_id_store)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op6_mix_sources": mixing.SQL}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_repeats, op3_pack, op4_html_extract, op5_near_duplicates, op6_mix_sources, op7_quality, op8_fingerprints, op9_id_store, op10_nearest)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op6_mix_sources": mixing.SQL, "op10_nearest": knn.SQL}

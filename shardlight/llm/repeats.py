@@ -15,8 +15,8 @@ Finding the suffixes that need this takes three passes, none of which drops a ca
 3. Starts. A run of ``least`` words that occurs twice, with two different words before, starts some maximal repeat.
    Its suffix goes to the sub-tree of its run, with the words up to the end of its zone.
 
-Equal texts are handled once and their ids put in at the end: they share every repeat, and are themselves one
-group. Where a run overlaps itself within a text (a word or line said over and over) only its leftmost start counts,
+Equal texts are one text: they share every repeat, so the occurrences in it are listed once, under the smallest id,
+and the equal texts themselves are a group that lists all their ids; ``expanded`` joins the two. Where a run overlaps itself within a text (a word or line said over and over) only its leftmost start counts,
 and the start after such a chain counts as preceded by something unique: such text gives one group, not one for
 each length.
 
@@ -135,7 +135,7 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starts(zones: DataFrame, least: int) -> DataFrame:
-    """(run, h1, zone, at, left) of every run of ``least`` words in a zone that isn't a later link of a self-overlap."""
+    """(run, h1, zone, at, chain, left) of every run of ``least`` words in a zone that isn't a later link of a self-overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,26 +157,54 @@ def _starts(zones: DataFrame, least: int) -> DataFrame:
             after = np.zeros(len(h), bool)
             after[1:] = link[:-1] & (of[1:] == of[:-1])
             left = np.where(after, unique, left)
-            ok = ~link
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(keys[of[ok]]), pa.array(zone[of[ok]]), pa.array((at - first[of])[ok].astype(np.int32)), pa.array(left[ok])], ["run", "h1", "zone", "at", "left"])
+            ok = np.flatnonzero(~link)
+            # links that follow a start without a gap belong to its stretch
+            chain = np.diff(np.append(ok, len(h))) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[ok].view(np.int64)), pa.array(keys[of[ok]]), pa.array(zone[of[ok]]), pa.array((at - first[of])[ok].astype(np.int32)), pa.array(chain.astype(np.int32)), pa.array(left[ok])], ["run", "h1", "zone", "at", "chain", "left"]
+            )
 
-    return zones.mapInArrow(run, "run long, h1 long, zone int, at int, left long")
+    return zones.mapInArrow(run, "run long, h1 long, zone int, at int, chain int, left long")
 
 
-def _suffixes(rows: DataFrame) -> DataFrame:
-    """The suffix of each start, to its zone's end; bytes are big-endian, so that they sort as the words do."""
+def _suffixes(rows: DataFrame, least: int) -> DataFrame:
+    """The suffix of each start of a zone, up to the end of its stretch of runs that occur twice: no repeat goes further.
+
+    ``met`` lists the zone's runs that occur twice; those with different words before carry ``run`` and ``left``. Bytes are
+    big-endian, so that they sort as the words do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                c = b.slice(i, 2000)
-                suffix = [np.frombuffer(w, U64)[a:].astype(">u8").tobytes() for w, a in zip(c.column("words").to_pylist(), c.column("at").to_pylist(), strict=True)]
-                start = pa.array(np.asarray(c.column("zone")) + np.asarray(c.column("at")))
-                yield pa.RecordBatch.from_arrays([c.column("run"), c.column("h1"), start, c.column("left"), pa.array(suffix, pa.binary())], ["run", "h1", "start", "left", "suffix"])
+            out: list[tuple] = []
+            size = 0
+            for h1, zone, raw, met in zip(b.column("h1").to_pylist(), b.column("zone").to_pylist(), b.column("words"), b.column("met"), strict=True):
+                words = np.frombuffer(raw.as_py(), U64).astype(">u8").tobytes()
+                fields = met.values
+                at = np.asarray(fields.field("at"))
+                order = np.argsort(at)
+                at, upto = at[order], at[order] + np.asarray(fields.field("chain"))[order]
+                stretch = np.cumsum(np.append(False, at[1:] > upto[:-1] + 1))
+                end = upto[np.searchsorted(stretch, stretch, "right") - 1] + least
+                runs_, left = (fields.field(c).take(pa.array(order)).to_pylist() for c in ("run", "left"))
+                for a, z, r, before in zip(at.tolist(), end.tolist(), runs_, left, strict=True):
+                    if r is not None:
+                        out.append((r, h1, zone + a, before, words[8 * a : 8 * z]))
+                        size += 8 * (z - a)
+                if size > 1 << 22:
+                    yield _rows(out)
+                    out, size = [], 0
+            if out:
+                yield _rows(out)
 
     return rows.mapInArrow(run, "run long, h1 long, start int, left long, suffix binary")
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["run", "h1", "start", "left", "suffix"])
+
+
 def common(a: bytes, b: bytes) -> int:
     """Words that two suffixes share."""
     n = min(len(a), len(b)) // 8
@@ -238,7 +266,7 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(group_id, words, doc_id, h1, start) of all occurrences; ``h1`` is the hash of the document's text."""
     rows = only(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h1", F.xxhash64("text"))
     count = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
-    meta = written(rows.select("doc_id", "h1", F.xxhash64("text", F.lit(1)).alias("h2"), count.alias("words")).distinct(), "texts")
+    meta = written(rows.groupBy("doc_id", "h1", F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.count("*").alias("rows"), F.max(count).alias("words")), "texts")
     copies = meta.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"))
 
     anchor = Window.partitionBy("anchor")
@@ -246,16 +274,19 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
     hits = met.where("lo <> hi OR again").groupBy("h1").agg(F.collect_set("anchor").alias("hits"))
     wanted = written(hits.join(copies.select("h1", "rep"), "h1"), "hits")
     texts = rows.join(wanted.withColumnRenamed("h1", "h").withColumnRenamed("rep", "doc"), (F.col("doc_id") == F.col("doc")) & (F.col("h1") == F.col("h")))
-    zones = written(_zones(texts.select("h1", "text", "hits"), least, gram).dropDuplicates(["h1", "zone"]), "zones")
+    zones = _zones(texts.select("h1", "text", "hits"), least, gram)
+    if not meta.where("rows > 1").isEmpty():  # rows that share id and text would otherwise give their zones twice
+        zones = zones.dropDuplicates(["h1", "zone"])
+    zones = written(zones, "zones")
 
     same = Window.partitionBy("run")
-    starts = _starts(zones, least).withColumns({"n": F.count("*").over(same), "lo": F.min("left").over(same), "hi": F.max("left").over(same)})
-    starts = starts.where("n > 1 AND lo <> hi").select("run", "h1", "zone", "at", F.col("left").alias("before"))
-    suffixes = starts.join(zones.select("h1", "zone", "words"), ["h1", "zone"]).select("run", "h1", "zone", "at", F.col("before").alias("left"), "words")
-    groups = _grouped(_suffixes(suffixes), least)
-    ids = meta.select("doc_id", "h1")
-    same_text = copies.where(F.col("n") > 1).where(F.col("words") >= least).select(F.concat(F.hex("h1"), F.hex("h2")).alias("group_id"), "words", "h1", F.lit(0).alias("start"))
-    return groups.unionByName(same_text).join(ids, "h1").select("group_id", "words", "doc_id", "h1", "start")
+    diverse = F.min("left").over(same) != F.max("left").over(same)
+    starts = _starts(zones, least).withColumns({"n": F.count("*").over(same), "diverse": diverse}).where("n > 1")
+    by_zone = starts.groupBy("h1", "zone").agg(F.collect_list(F.expr("struct(at, chain, if(diverse, run, null) AS run, if(diverse, left, null) AS left)")).alias("met"), F.max("diverse").alias("any"))
+    suffixes = by_zone.where("any").join(zones.select("h1", "zone", "words"), ["h1", "zone"]).select("h1", "zone", "words", "met")
+    groups = _grouped(_suffixes(suffixes, least), least).join(copies.select("h1", F.col("rep").alias("doc_id")), "h1").select("group_id", "words", "doc_id", "h1", "start")
+    equal = copies.where("n > 1").where(F.col("words") >= least).select(F.concat(F.lit("text:"), F.hex("h1"), F.hex("h2")).alias("group_id"), "words", "h1", "h2")
+    return groups.unionByName(equal.join(meta.select("doc_id", "h1", "h2"), ["h1", "h2"]).select("group_id", "words", "doc_id", "h1", F.lit(0).alias("start")))
 
 
 def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -263,6 +294,15 @@ def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Data
     return _found(docs, least, gram).select("group_id", "words", "doc_id", "start")
 
 
+def expanded(groups: DataFrame) -> DataFrame:
+    """``repeat_groups`` with the occurrences in equal texts written out for each of their ids (of ids with one text)."""
+    equal = groups.where("group_id LIKE 'text:%'")
+    first = equal.groupBy("group_id").agg(F.min("doc_id").alias("rep"))
+    ids = equal.join(first, "group_id").where("doc_id <> rep").select("rep", F.col("doc_id").alias("other"))
+    more = groups.where("group_id NOT LIKE 'text:%'").join(ids, F.col("doc_id") == F.col("rep")).select("group_id", "words", F.col("other").alias("doc_id"), "start")
+    return groups.unionByName(more)
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without these (first word, words) spans; white space before a kept word goes with the word before it."""
     raw = text.encode()
