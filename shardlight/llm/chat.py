@@ -3,7 +3,7 @@
 Each conversation is read in turn order. The machine starts in ``start``; every role moves it along
 ``transitions`` or is an error, and it must end in an accepting state. A valid conversation gives one segment per
 piece of the template (opening, body, closing), each with its loss flag; an invalid one gives a single row with
-the position and kind of its first error and no text.
+the position and kind of its first error and no text; the position is -1 where there is none.
 
 Defined cases, as errors at the first turn they touch: a null turn ``null_turn``, a repeated turn number (also
 repeated rows) ``repeated_turn``, a role that is null or not in the template ``unknown_role``, a null text
@@ -85,7 +85,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         .withColumn("end", _machine(F.col("turns"), template))
     )
     error = F.coalesce(F.col("end.error"), F.when(~F.col("end.state").isin(*template.accepting), F.lit("unfinished")))
-    at = F.coalesce(F.col("end.at"), F.when(error.isNotNull(), F.col("end.n")))
+    at = F.coalesce(F.col("end.at"), F.when(error.isNotNull(), F.col("end.n")), F.lit(-1))
     chats = chats.select("conv_id", "turns", error.alias("error"), at.cast("int").alias("error_at"))
     # one branch without text stands for an invalid conversation, so that it keeps a row
     nothing = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("loss")))
@@ -111,7 +111,7 @@ WITH t AS (
   SELECT conv_id, arg_min(err, n) FILTER (err IS NOT NULL) AS err, min(n) FILTER (err IS NOT NULL) AS err_at, max(n) + 1 AS size, arg_max(role, n) AS final FROM e GROUP BY conv_id
 ), v AS (
   SELECT conv_id, coalesce(err, CASE WHEN final <> 'assistant' THEN 'unfinished' END) AS error,
-         CAST(coalesce(err_at, CASE WHEN final <> 'assistant' THEN size END) AS INTEGER) AS error_at FROM c
+         CAST(coalesce(err_at, CASE WHEN final <> 'assistant' THEN size END, -1) AS INTEGER) AS error_at FROM c
 ), p AS (
   SELECT * FROM (VALUES ('system', 0, '<|im_start|>system' || chr(10), false), ('system', 1, NULL, false), ('system', 2, '<|im_end|>' || chr(10), false),
     ('user', 0, '<|im_start|>user' || chr(10), false), ('user', 1, NULL, false), ('user', 2, '<|im_end|>' || chr(10), false),

@@ -82,7 +82,7 @@ class Tree:
                 limit = kth[q]
                 if rough.shape[1] > k:
                     limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
-                i, j = np.nonzero(rough <= limit[:, None] + 1e-9 * (1 + norms[q, None]))
+                i, j = np.nonzero(np.isfinite(rough) & (rough <= limit[:, None] + 1e-9 * (1 + norms[q, None])))
                 if not len(i):
                     continue
                 exact = ((queries[q[i]] - self.points[s][j]) ** 2).sum(1)
