@@ -60,12 +60,17 @@ def measured(docs: DataFrame, seed: str) -> DataFrame:
     return written(rows.select("doc_id", F.to_json(F.array("source")).alias("source"), uniform(F.col("doc_id"), seed).alias("h"), tokens(F.col("text")).alias("tokens")), "measured")
 
 
+def _name(source: Column) -> Column:
+    """The source's own name out of the JSON array that stands for it, where null is a value like any other."""
+    return F.from_json(source, "array<string>")[0]
+
+
 def _cuts(rows: DataFrame, weights: dict[str, float], fractions: tuple[float, ...], default: float) -> DataFrame:
     """One row a source: an ascending array of (threshold, tier), null where the source fits whole."""
     totals = rows.groupBy("source").agg(F.sum("tokens").alias("have"))
     weight = F.lit(default)
     for name, w in weights.items():
-        weight = F.when(F.get_json_object("source", "$[0]") == name, F.lit(float(w))).otherwise(weight)
+        weight = F.when(_name(F.col("source")) == name, F.lit(float(w))).otherwise(weight)
     totals = written(totals.withColumn("weight", weight.cast("double")), "totals")
     all_ = totals.agg(F.sum("weight").alias("weights"), F.sum("have").alias("total"))
     tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(sorted(fractions))]))
@@ -84,7 +89,7 @@ def _tiered(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, fractions: tuple[float, ...] = FRACTIONS, default: float = 1.0, seed: str = "mix") -> DataFrame:
     """(doc_id, source, tokens, tier) of the documents taken; ``tier`` is the smallest mix that has the document."""
     rows = measured(docs, seed)
-    return _tiered(rows, _cuts(rows, weights, fractions, default)).select("doc_id", F.get_json_object("source", "$[0]").alias("source"), "tokens", "tier")
+    return _tiered(rows, _cuts(rows, weights, fractions, default)).select("doc_id", _name(F.col("source")).alias("source"), "tokens", "tier")
 
 
 def keep_mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, fraction: float = FRACTIONS[-1], default: float = 1.0, seed: str = "mix") -> DataFrame:

@@ -23,7 +23,7 @@ def corpus(seed, n=120):
         for _ in range(rng.choice([0, 0, 1, 3])):
             copy = [x if rng.random() > rng.choice([0.02, 0.1, 0.25]) else f"x{rng.randint(0, 99)}" for x in words]
             out.append((10_000 + len(out), " ".join(copy)))
-    return out
+    return [(d, t) for t, d in {t: d for d, t in reversed(out)}.items()]
 
 
 def distances(docs, plan):
@@ -50,8 +50,6 @@ def components(ids, edges):
 def test_all_pairs_within_the_radius_are_found(spark, plan):
     docs = corpus(plan.radius)
     near = {p for p, d in distances(docs, plan).items() if d <= plan.radius}
-    same = {t for t, n in Counter(t for _, t in docs).items() if n > 1}
-    assert not same
     df = spark.createDataFrame(docs, SCHEMA)
     got = {(r["a"], r["b"]) for r in minhash.near_pairs(df, plan).collect()}
     sig, _ = minhash.signatures(pa.array([t for _, t in docs]), plan.slots)
