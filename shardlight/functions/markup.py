@@ -15,7 +15,7 @@ from .walkers import BROKEN, DONE, GOING
 #: Longest unfinished tag that is carried on.
 HELD_MOST = 1 << 16
 _CONTROL = bytes(b for b in range(32) if b not in (9, 10, 13))
-_TAG = re.compile(rb"<(/?)(\w+)([^>]*)>")
+_TAG = re.compile(rb"<(/)?([A-Za-z0-9_]+)([^>]*)>")
 VOID = frozenset(b"area base br col embed hr img input link meta param source track wbr !doctype".split())
 Event = tuple[bytes, bool, int]
 

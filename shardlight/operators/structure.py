@@ -17,7 +17,7 @@ PATTERNS = {
     "json": r'(?s)"(?:\\.|[^"\\])*(?:"|\\?\z)|[{}\[\]]',
     "rtf": r"(?s)\\.|[{}]",
 }
-TAG = r"(?s)^<(/?)(\w+)([^>]*)>"
+TAG = r"(?s)^<(/)?([A-Za-z0-9_]+)([^>]*)>"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 

@@ -123,14 +123,14 @@ _STATUS = _balance_sql(_TOKENS, "page_id", f"WHERE name IN ({_IN})") + "SELECT C
 
 
 def json_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    props = F.when(F.expr("substr(props, -2, 1) < '5'"), F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
     rows = _table(spark, sf_dir, "events").select("event_id", props.alias("props"))
     return structure.balance(structure.events(rows, "event_id", "props", "json"), "event_id").select("event_id", "n_tags", "depth", "balanced")
 
 
 _JSON = (
     _balance_sql(
-        f"t AS (SELECT event_id, unnest(x) AS t, unnest(generate_series(0, len(x) - 1)) AS pos FROM (SELECT event_id, regexp_extract_all(CASE WHEN event_id % 3 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END, '{structure.PATTERNS['json']}') AS x FROM events) WHERE len(x) > 0), v AS (SELECT event_id, pos, replace(replace(t, '}}', '{{'), ']', '[') AS name, t IN ('}}', ']') AS is_closing FROM t WHERE t IN ('{{', '}}', '[', ']'))",
+        f"t AS (SELECT event_id, unnest(x) AS t, unnest(generate_series(0, len(x) - 1)) AS pos FROM (SELECT event_id, regexp_extract_all(CASE WHEN substr(props, -2, 1) < '5' THEN substr(props, 1, length(props) - 1) ELSE props END, '{structure.PATTERNS['json']}') AS x FROM events) WHERE len(x) > 0), v AS (SELECT event_id, pos, replace(replace(t, '}}', '{{'), ']', '[') AS name, t IN ('}}', ']') AS is_closing FROM t WHERE t IN ('{{', '}}', '[', ']'))",
         "event_id",
     )
     + "SELECT event_id, n_tags, depth, first_bad_pos IS NULL AND depth = 0 AS balanced FROM g"
@@ -138,19 +138,21 @@ _JSON = (
 
 
 def fragment_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scan_clusters(spark, sf_dir).where("cluster_id * 7 % 5 <> 0").withColumn("end_offset", F.col("start_offset") + virtual.CLUSTER)
+    """Fragments of each page when clusters that begin with a space or an e are taken for damaged."""
+    c = virtual.clusters(_table(spark, sf_dir, "pages"), "page_id", "html").where(~F.hex(F.substring("bytes", 1, 1)).isin("20", "65"))
+    c = c.withColumn("end_offset", F.col("start_offset") + virtual.CLUSTER)
     return report.coalesced(c, "page_id").select("page_id", F.col("fragment_id").cast("int").alias("fragment_id"), "start_offset", "end_offset", "size")
 
 
-_COALESCE = f"WITH {_PADDED}, r AS (SELECT page_id, cluster_id, cluster_id - row_number() OVER (PARTITION BY page_id ORDER BY cluster_id) AS island FROM c WHERE cluster_id * 7 % 5 <> 0), g AS (SELECT page_id, min(cluster_id) * 4096 AS start_offset, (max(cluster_id) + 1) * 4096 AS end_offset FROM r GROUP BY page_id, island) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY start_offset) - 1 AS INTEGER) AS fragment_id, start_offset, end_offset, end_offset - start_offset AS size FROM g"
+_COALESCE = f"WITH {_PADDED}, r AS (SELECT page_id, cluster_id, cluster_id - row_number() OVER (PARTITION BY page_id ORDER BY cluster_id) AS island FROM c WHERE hex(array_slice(encode(html), i * 4096 + 1, i * 4096 + 1)) NOT IN ('20', '65')), g AS (SELECT page_id, min(cluster_id) * 4096 AS start_offset, (max(cluster_id) + 1) * 4096 AS end_offset FROM r GROUP BY page_id, island) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY start_offset) - 1 AS INTEGER) AS fragment_id, start_offset, end_offset, end_offset - start_offset AS size FROM g"
 
 
 def gap_jump_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = virtual.clusters(_table(spark, sf_dir, "pages"), "page_id", "html").select("cluster_id", "n_bytes")
-    return virtual.next_match(c, "cluster_id", "cluster_id % 7 = 3", "n_bytes >= 0.8 * 4096", LOOKAHEAD)
+    return virtual.next_match(c, "cluster_id", "true", "n_bytes >= 0.8 * 4096", LOOKAHEAD).na.fill(-1, ["match"])
 
 
-_JUMP = f"WITH {_PADDED} SELECT a.cluster_id AS id, (SELECT min(b.cluster_id) FROM c b WHERE b.cluster_id > a.cluster_id AND b.cluster_id <= a.cluster_id + {LOOKAHEAD} AND b.n_bytes >= 0.8 * 4096) AS match FROM c a WHERE a.cluster_id % 7 = 3"
+_JUMP = f"WITH {_PADDED} SELECT a.cluster_id AS id, coalesce((SELECT min(b.cluster_id) FROM c b WHERE b.cluster_id > a.cluster_id AND b.cluster_id <= a.cluster_id + {LOOKAHEAD} AND b.n_bytes >= 0.8 * 4096), -1) AS match FROM c a"
 
 
 def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:

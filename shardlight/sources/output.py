@@ -38,7 +38,7 @@ def logger(name: str, file: Path | None = None) -> logging.Logger:
     log.setLevel(logging.INFO)
     log.propagate = False
     for h in [logging.StreamHandler(sys.stderr), *([logging.FileHandler(file)] if file else [])]:
-        h.setFormatter(logging.Formatter("[%(asctime)s] [%(name)s] [%(levelname)s] %(message)s"))
+        h.setFormatter(logging.Formatter("[{asctime}] [{name}] [{levelname}] {message}", style="{"))
         log.addHandler(h)
     return log
 

@@ -134,7 +134,7 @@ def test_reports_merge_and_dashboard(spark, tmp_path):
     for w, (name, fragments) in enumerate([("late", frag(500)), ("early", frag(100)), ("<none>", [])]):
         own = {"file_id": 0, "filename": name, "fragments": fragments}
         if w == 1:
-            own |= {"format": "xml", "status": "complete", "total_size": 1024}
+            own |= dict(format="xml", status="complete", total_size=1024)
         (tmp_path / f"carve_report_w{w}.json").write_text(json.dumps({"files": [own]} | ({"error": "boom"} if w == 2 else {})))
     (tmp_path / "carve_report_w9.json").write_text("not json")
     target = merge_reports(spark, tmp_path)

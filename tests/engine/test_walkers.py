@@ -177,22 +177,22 @@ def padded(*parts, fill=b"\0"):
 
 
 def test_xml_over_a_gap():
-    image = padded(b'<?xml version="1.0"?><root><item>A</item>', b"stray text data </div> random noise", b"<item>B</item></root>")
+    image = padded(b"<?xml version='1.1'?><list><entry>one</entry>", b"other words </span> and more of them", b"<entry>two</entry></list>")
     [(f, body)] = carved(image, formats=("xml",))
-    assert f.status == "complete" and b"<item>B</item>" in body and b"stray" not in body
+    assert f.status == "complete" and b"<entry>two</entry>" in body and b"other" not in body
     assert [s for s, _ in f.fragments] == [0, 128] and f.fragments[0][1] == 128
 
 
 def test_json_over_a_gap():
-    image = padded(b'{"root": {"child": ["item1", ', b' "stray text", } ] random noise', b'"item2"]}}', fill=b" ")
+    image = padded(b'[{"k": {"list": [1, ', b' "words", } ] that are foreign', b'2]}}]', fill=b" ")
     [(f, body)] = carved(image, formats=("json",))
-    assert f.status == "complete" and b'"item1","item2"' in body.replace(b" ", b"") and b"stray" not in body
+    assert f.status == "complete" and b"[1,2]}}]" in body.replace(b" ", b"") and b"foreign" not in body
 
 
 def test_pdf_over_a_gap_keeps_offsets():
-    head = b"%pdf-1.4\n1 0 obj << /Length 20 >> endobj stream\n"
-    [(f, body)] = carved(head + b"A" * 16 + b"B" * 64 + b"CCCC\nendstream\n%%eof".ljust(64, b"\0"), formats=("pdf",))
-    assert f.status == "complete" and body == head + b"A" * 16 + b"B" * 64 + b"CCCC\nendstream\n%%eof"
+    head = b"%PDF-1.7\n7 0 obj << /Length 20 >> endobj\nstream\n"
+    [(f, body)] = carved(head + b"A" * (64 - len(head)) + b"B" * 64 + b"CCCC\nendstream\n%%eof".ljust(64, b"\0"), formats=("pdf",))
+    assert f.status == "complete" and body == head + b"A" * (64 - len(head)) + b"B" * 64 + b"CCCC\nendstream\n%%eof"
 
 
 def test_png_over_a_gap_is_filled_with_zeros():
