@@ -54,7 +54,7 @@ class Carver:
         blocked: dict[int, list[tuple[int, int]]] = {}
         todo = list(range(len(ranges)))
         while todo:
-            own = hit.where(F.col("split").isin(todo)) if len(todo) < len(ranges) else hit
+            own = hit.join(F.broadcast(self._pairs([(k, 0) for k in todo]).select("split")), "split", "left_semi") if len(todo) < len(ranges) else hit
             rounds.append(kept(self._walked(own, path, {k: blocked.get(k, []) for k in todo})))
             current |= {k: len(rounds) - 1 for k in todo}
             now = self._crossing(self._latest(rounds, current), ranges)
@@ -68,18 +68,28 @@ class Carver:
             worker = F.when(F.col("start_offset") >= a, k).otherwise(worker)
         return numbered(self._latest(rounds, current), worker).select(*FILE)
 
+    def _pairs(self, pairs: list[tuple[int, int]]) -> DataFrame:
+        """A table with a row a range at most: two numbers for each 256 MB of image."""
+        return self.spark.createDataFrame(pairs, "split int, round int")
+
     def _latest(self, rounds: list[DataFrame], current: dict[int, int]) -> DataFrame:
-        parts = [t.where(F.col("split").isin([k for k, r in current.items() if r == i])) if len(rounds) > 1 else t for i, t in enumerate(rounds)]
-        return reduce(DataFrame.unionByName, parts)
+        if len(rounds) == 1:
+            return rounds[0]
+        every = reduce(DataFrame.unionByName, [t.withColumn("round", F.lit(i)) for i, t in enumerate(rounds)])
+        return every.join(F.broadcast(self._pairs(list(current.items()))), ["split", "round"], "left_semi").drop("round")
 
     def _crossing(self, found: DataFrame, ranges: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
         """Parts of files that lie in ranges after the one where they begin. Few: a range has one last file."""
-        ends = F.create_map(*[x for k, (_, z) in enumerate(ranges) for x in (F.lit(k), F.lit(z))])
-        over = found.select(F.explode("blocks").alias("b"), ends[F.col("split")].alias("upto")).where("b.end_offset > upto").select("b.start_offset", "b.end_offset", "upto")
+        if not ranges:
+            return {}
+        start, step, last = ranges[0][0], ranges[0][1] - ranges[0][0], len(ranges) - 1
+        upto = F.when(F.col("split") < last, (F.col("split") + 1).cast("long") * step + start).otherwise(F.lit(ranges[last][1]).cast("long"))
+        over = found.select("split", F.explode("blocks").alias("b"), upto.alias("upto")).where("b.end_offset > upto").select("b.start_offset", "b.end_offset", "split")
         out: dict[int, list[tuple[int, int]]] = {}
-        for s, e, upto in sorted(tuple(r) for r in over.toLocalIterator()):
-            for k, (a, z) in enumerate(ranges):
-                if a >= upto and s < z and e > a:
+        for s, e, own in sorted(tuple(r) for r in over.toLocalIterator()):
+            for k in range(max(own + 1, min(last, (s - start) // step)), min(last, (e - 1 - start) // step) + 1):
+                a, z = ranges[k]
+                if max(s, a) < min(e, z):
                     out.setdefault(k, []).append((max(s, a), min(e, z)))
         return out
 
