@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import only
+from .shared import lean, only
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</([a-z][\w:-]*)[^>]*>|<([a-z][\w:-]*)([^>]*)>|<[!?][^>]*>|([^<]+)|(<)", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,6 +216,7 @@ def extract(pages: DataFrame, threshold: float = 0.5, labelled: tuple[str, ...]
     """(page_id, url, text, elements, content_elements, confidence) of every page."""
     model = fit(labelled)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):

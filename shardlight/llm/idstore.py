@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, written
+from .shared import lean, only, written
 from .textkit import U64, mix64, prefix_sums, range_hashes
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,6 +74,7 @@ _ARROW = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.i
 
 
 def _staged(docs: DataFrame, ranks: str) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         seen: set[bytes] = set()  # of this task; it only saves sending, later steps don't rely on it

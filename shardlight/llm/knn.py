@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import only, written
+from .shared import lean, only, written
 
 K, SHARD, LEAF, SAMPLE, BLOCK = 10, 8192, 128, 4096, 2048
 
@@ -133,6 +133,7 @@ def _sharded(points: DataFrame, size: int) -> DataFrame:
         sample = points.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE if depth else 0).toArrow()
         splits[dim] = _splits(_vectors(sample["v"]), depth) if sample.num_rows else None
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims, shard = np.asarray(b.column("dim")), np.zeros(b.num_rows, np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import lean, only
 
 FRAME, HOP = 256, 128
 NEAR_T, NEAR_F, FLOOR = 3, 4, 4.0
@@ -114,6 +114,7 @@ _FIELDS = (("sample_rate", pa.int32()), ("channels", pa.int32()), ("samples", pa
 def fingerprints(rows: DataFrame, id_column: str = "vec_id", wav_column: str = "wav") -> DataFrame:
     """(id, sample_rate, channels, samples, peaks, time_ms, code, error) of each row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -148,6 +149,7 @@ def tones(vectors: np.ndarray, rate: int = 8000, step: int = 512) -> np.ndarray:
 def with_tones(vectors: DataFrame) -> DataFrame:
     """(vec_id, wav) from (vec_id, embedding); a null embedding, or one with nulls, gives a null."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import only, written
+from .shared import lean, only, written
 from .textkit import FOLDED, U64, mix64, slices, split_words
 
 
@@ -68,6 +68,7 @@ def signatures(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(docs: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, sig) of each row that has an id and words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, index = signatures(b.column("text"), plan.slots)
@@ -144,6 +145,7 @@ def _bounds(t: pa.Table, key: str) -> tuple[pa.Table, np.ndarray]:
 def met(reps: DataFrame, plan: Plan) -> DataFrame:
     """(key, rep) of the keys under which several signatures meet; of keys with the same members one stays."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = keys_of(_matrix(b.column("sig"), plan.slots), plan.chunks).view(np.int64)
@@ -162,6 +164,7 @@ def met(reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _compared(reps: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in runs(batches, "key"):
             ids, sig = np.asarray(t["rep"]), _matrix(t["sig"], plan.slots)

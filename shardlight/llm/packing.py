@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import tokens
-from .shared import only, written
+from .shared import lean, only, written
 
 CAPACITY = 2048
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = places["size"] << 48 | places["lo"]
         for b in batches:

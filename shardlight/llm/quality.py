@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import only, release
 from .textkit import RAW, SHAPE, U64, run_hashes, slices, split_words
 
 
@@ -141,6 +141,7 @@ def scored(docs: DataFrame, model: Model, column: str = "quality_score") -> Data
         for texts in batches:
             p = score_texts(texts, model, weights)
             yield pa.array(np.round(p, 9), mask=np.isnan(p))
+        release()
 
     return docs.withColumn(column, score(docs["`text`"]))
 

@@ -17,8 +17,8 @@ Finding the suffixes that need this takes three passes, none of which drops a ca
 
 Equal texts are one text: they share every repeat, so the occurrences in it are listed once, under the smallest id,
 and the equal texts themselves are a group that lists all their ids; ``expanded`` joins the two. Where a run overlaps itself within a text (a word or line said over and over) only its leftmost start counts,
-and the start after such a chain counts as preceded by something unique: such text gives one group, not one for
-each length.
+and the start after such a chain counts as preceded by something unique: such text gives one group for each other place
+that has it, not one for each length, and no group where it only repeats itself.
 
 The result has a row for each occurrence: (group_id, words, doc_id, start), ``start`` in words; repeats inside one
 document count too. Defined cases: null ids and null texts are left out (the pipeline keeps these rows as they are);
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import runs
-from .shared import only, written
+from .shared import lean, only, written
 from .textkit import U64, Words, mix64, run_hashes, slices, split_words
 
 LEAST, GRAM = 50, 16
@@ -78,6 +78,7 @@ def _ids(words: Words) -> np.ndarray:
 def _anchored(rows: DataFrame, least: int, gram: int) -> DataFrame:
     """(anchor, h1, twice): the anchors of each row's text, each once; ``twice`` where the text has it twice."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.asarray(b.column("h1"))
@@ -101,6 +102,7 @@ ZONE = "h1 long, zone int, left long, words binary"
 def _zones(rows: DataFrame, least: int, gram: int) -> DataFrame:
     """Stretches of words around anchors that occur elsewhere: hashes of the words, and of the one before (null at a text's start)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, hits = np.asarray(b.column("h1")), b.column("hits")
@@ -137,6 +139,7 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _starts(zones: DataFrame, least: int) -> DataFrame:
     """(run, h1, zone, at, chain, left) of every run of ``least`` words in a zone that isn't a later link of a self-overlap."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, first = _unpacked(b)
@@ -174,6 +177,7 @@ def _suffixes(rows: DataFrame, least: int) -> DataFrame:
     big-endian, so that they sort as the words do.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -240,6 +244,7 @@ def intervals(suffix: list[bytes], left: list[int], least: int) -> Iterator[tupl
 def _grouped(suffixes: DataFrame, least: int) -> DataFrame:
     """(group_id, words, h1, start) of every occurrence; a group's id is the hash of its words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in runs(batches, "run"):
             suffix, left = t["suffix"].to_pylist(), t["left"].to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
