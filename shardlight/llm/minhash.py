@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, only, written
+from .shared import lean, only, sieved, written
 from .textkit import FOLDED, U64, mix64, slices, split_words
 
 
@@ -228,7 +228,8 @@ def near_pairs(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The documents without those that ``near_groups`` doesn't keep; of rows that share an id, the one with the smallest text."""
     gone = near_groups(docs, plan).where("NOT keep").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["`doc_id`"].cast("long") == gone["__gone"], "left_anti")
+    maybe, clear = sieved(docs, docs["`doc_id`"].cast("long"), gone)
+    left = clear.unionByName(maybe.join(gone, maybe["`doc_id`"].cast("long") == gone["__gone"], "left_anti"))
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     again = written(ids, "repeated-ids")
     if again.isEmpty():

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import runs
-from .shared import lean, only, written
+from .shared import lean, only, sieved, written
 from .textkit import U64, Words, mix64, run_hashes, slices, split_words
 
 LEAST, GRAM = 50, 16
@@ -278,7 +278,8 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
     met = _anchored(rows, least, gram).withColumns({"lo": F.min("h1").over(anchor), "hi": F.max("h1").over(anchor), "again": F.max("twice").over(anchor)})
     hits = met.where("lo <> hi OR again").groupBy("h1").agg(F.collect_set("anchor").alias("hits"))
     wanted = written(hits.join(copies.select("h1", "rep"), "h1"), "hits")
-    texts = rows.join(wanted.withColumnRenamed("h1", "h").withColumnRenamed("rep", "doc"), (F.col("doc_id") == F.col("doc")) & (F.col("h1") == F.col("h")))
+    maybe, _ = sieved(rows, F.col("h1"), wanted.select("h1"))
+    texts = maybe.join(wanted.withColumnRenamed("h1", "h").withColumnRenamed("rep", "doc"), (F.col("doc_id") == F.col("doc")) & (F.col("h1") == F.col("h")))
     zones = _zones(texts.select("h1", "text", "hits"), least, gram)
     if not meta.where("rows > 1").isEmpty():  # rows that share id and text would otherwise give their zones twice
         zones = zones.dropDuplicates(["h1", "zone"])
@@ -336,11 +337,12 @@ def keep_first(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFra
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([None if t is None else cut_words(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    text = docs["`text`"]
-    both = docs.join(written(spans, "spans"), (docs["`doc_id`"].cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__h1")), "left")
+    spans = written(spans, "spans")
+    maybe, clear = sieved(docs, F.xxhash64(docs["`text`"]), spans.select("__h1"))
+    both = maybe.join(spans, (maybe["`doc_id`"].cast("long") == F.col("__doc")) & (F.xxhash64(maybe["`text`"]) == F.col("__h1")), "left")
     has = F.col("__spans").isNotNull()
     both = both.withColumn("__new", without(F.when(has, F.col("text")), F.col("__spans"))).where(~has | (F.col("__new") != ""))
     out = {"text": F.when(has, F.col("__new")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(has, F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return both.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(clear)
