@@ -16,18 +16,20 @@ Finding the suffixes that need this takes three passes, none of which drops a ca
    Its suffix goes to the sub-tree of its run, with the words up to the end of its zone.
 
 Equal texts are one text: they share every repeat, so the occurrences in it are listed once, under the smallest id,
-and the equal texts themselves are a group that lists all their ids; ``expanded`` joins the two. Where a run overlaps itself within a text (a word or line said over and over) only its leftmost start counts,
-and the start after such a chain counts as preceded by something unique: such text gives one group for each other place
-that has it, not one for each length, and no group where it only repeats itself.
+and the equal texts themselves are a group that lists all their ids; ``expanded`` joins the two. Where a run overlaps itself within a text (a word or line said over and over) its starts are
+one chain: the first, the step to the next and the number of links. A chain is shipped with one suffix, of which the others
+are slices, so such text costs little until its occurrences are written out, of which there are by definition many.
 
-The result has a row for each occurrence: (group_id, words, doc_id, start), ``start`` in words; repeats inside one
-document count too. Defined cases: null ids and null texts are left out (the pipeline keeps these rows as they are);
+``occurrences`` has a row for each occurrence: (group_id, words, doc_id, start), ``start`` in words; repeats inside one
+document count too. ``repeat_groups`` is a short form with the first start of each chain only: such text gives one group
+for each other place that has it, not one for each length, and none where it only repeats itself. Defined cases: null ids and null texts are left out (the pipeline keeps these rows as they are);
 texts shorter than ``least`` words have no repeats; rows that share id and text are one; rows that share an id
 but not the text both count, with the same id; other columns aren't read; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -137,7 +139,11 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starts(zones: DataFrame, least: int) -> DataFrame:
-    """(run, h1, zone, at, chain, left) of every run of ``least`` words in a zone that isn't a later link of a self-overlap."""
+    """(run, h1, zone, at, every, links, left, inner) of the chains of runs of ``least`` words in a zone.
+
+    The run is also found at ``at + every``, ``at + 2 * every`` and so on, ``links`` times, each less than ``least`` words after
+    the last; ``inner`` is the word before those.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,30 +154,35 @@ def _starts(zones: DataFrame, least: int) -> DataFrame:
             h, at = run_hashes(words, first, least)
             of = np.searchsorted(first, at, "right") - 1
             order = np.lexsort((at, h, of))
-            a, r = at[order], h[order]
-            link = np.zeros(len(h), bool)
-            link[order[1:]] = (r[1:] == r[:-1]) & (of[order][1:] == of[order][:-1]) & (a[1:] - a[:-1] < least)
+            a, r, o = at[order], h[order], of[order]
+            step = np.zeros(len(h), np.int64)
+            step[1:] = np.where((r[1:] == r[:-1]) & (o[1:] == o[:-1]) & (a[1:] - a[:-1] < least), a[1:] - a[:-1], 0)
+            link = step > 0
+            # a run may follow itself at two distances: a new chain begins where the step changes
+            link[1:] &= (step[1:] == step[:-1]) | (step[:-1] == 0)
             unique = mix64(keys[of].view(U64) ^ mix64((zone[of] + at - first[of]).astype(U64))).view(np.int64)
             left = np.where(at > first[of], words[np.maximum(at - 1, 0)].view(np.int64), unique)
             head = np.flatnonzero(at == first[of])
             has = ~np.isnan(before[of[head]].astype(float)) if len(head) else head
             known = b.column("left").fill_null(0).to_numpy(zero_copy_only=False)
             left[head[has]] = known[of[head[has]]] if len(head) else left[:0]
-            after = np.zeros(len(h), bool)
-            after[1:] = link[:-1] & (of[1:] == of[:-1])
-            left = np.where(after, unique, left)
-            ok = np.flatnonzero(~link)
-            # links that follow a start without a gap belong to its stretch
-            chain = np.diff(np.append(ok, len(h))) - 1
+            begin = np.flatnonzero(~link)
+            links = np.diff(np.append(begin, len(h))) - 1
+            every = np.where(links > 0, step[np.minimum(begin + 1, len(h) - 1)], 0) if len(h) else links
+            ok = order[begin]
+            inner = pa.array(words[np.maximum(at[ok] + every - 1, 0)].view(np.int64), mask=links == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[ok].view(np.int64)), pa.array(keys[of[ok]]), pa.array(zone[of[ok]]), pa.array((at - first[of])[ok].astype(np.int32)), pa.array(chain.astype(np.int32)), pa.array(left[ok])], ["run", "h1", "zone", "at", "chain", "left"]
+                [pa.array(h[ok].view(np.int64)), pa.array(keys[of[ok]]), pa.array(zone[of[ok]])]
+                + [pa.array(c.astype(np.int32)) for c in ((at - first[of])[ok], every, links)]
+                + [pa.array(left[ok]), inner],
+                ["run", "h1", "zone", "at", "every", "links", "left", "inner"],
             )
 
-    return zones.mapInArrow(run, "run long, h1 long, zone int, at int, chain int, left long")
+    return zones.mapInArrow(run, "run long, h1 long, zone int, at int, every int, links int, left long, inner long")
 
 
 def _suffixes(rows: DataFrame, least: int) -> DataFrame:
-    """The suffix of each start of a zone, up to the end of its stretch of runs that occur twice: no repeat goes further.
+    """The suffix of each chain of a zone, up to the end of its last link's stretch of runs that occur twice: no repeat goes further.
 
     ``met`` lists the zone's runs that occur twice; those with different words before carry ``run`` and ``left``. Bytes are
     big-endian, so that they sort as the words do.
@@ -186,14 +197,15 @@ def _suffixes(rows: DataFrame, least: int) -> DataFrame:
                 words = np.frombuffer(raw.as_py(), U64).astype(">u8").tobytes()
                 fields = met.values
                 at = np.asarray(fields.field("at"))
-                order = np.argsort(at)
-                at, upto = at[order], at[order] + np.asarray(fields.field("chain"))[order]
-                stretch = np.cumsum(np.append(False, at[1:] > upto[:-1] + 1))
-                end = upto[np.searchsorted(stretch, stretch, "right") - 1] + least
-                runs_, left = (fields.field(c).take(pa.array(order)).to_pylist() for c in ("run", "left"))
-                for a, z, r, before in zip(at.tolist(), end.tolist(), runs_, left, strict=True):
+                every, links = np.asarray(fields.field("every")), np.asarray(fields.field("links"))
+                of, k = _chained(links)
+                twice = np.unique(at[of] + k * every[of])
+                ends = twice[np.append(np.flatnonzero(np.diff(twice) > 1), len(twice) - 1)]
+                end = ends[np.searchsorted(ends, at + links * every)] + least
+                runs_, left, inner = (fields.field(c).to_pylist() for c in ("run", "left", "inner"))
+                for a, z, r, before, within, step, n in zip(at.tolist(), end.tolist(), runs_, left, inner, every.tolist(), links.tolist(), strict=True):
                     if r is not None:
-                        out.append((r, h1, zone + a, before, words[8 * a : 8 * z]))
+                        out.append((r, h1, zone + a, step, n, before, within, words[8 * a : 8 * z]))
                         size += 8 * (z - a)
                 if size > 1 << 22:
                     yield _rows(out)
@@ -201,24 +213,44 @@ def _suffixes(rows: DataFrame, least: int) -> DataFrame:
             if out:
                 yield _rows(out)
 
-    return rows.mapInArrow(run, "run long, h1 long, start int, left long, suffix binary")
+    return rows.mapInArrow(run, "run long, h1 long, start int, every int, links int, left long, inner long, suffix binary")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["run", "h1", "start", "left", "suffix"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["run", "h1", "start", "every", "links", "left", "inner", "suffix"])
+
+
+def _chained(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chain, link) of all starts of chains with so many links."""
+    of = np.repeat(np.arange(len(links)), links + 1)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(links + 1) - links - 1, links + 1)
 
 
-def common(a: bytes, b: bytes) -> int:
+#: A suffix: bytes, and where in them it begins.
+Suffix = tuple[bytes, int]
+
+
+def common(a: Suffix, b: Suffix) -> int:
     """Words that two suffixes share."""
-    n = min(len(a), len(b)) // 8
-    if a[: 8 * n] == b[: 8 * n]:
-        return n
-    differ = np.frombuffer(a, U64, n) != np.frombuffer(b, U64, n)
-    return int(differ.argmax())
+    (x, i), (y, j) = a, b
+    most, n, block = min(len(x) - i, len(y) - j), 0, 1 << 9
+    while n < most:
+        block = min(2 * block, most - n)
+        if x[i + n : i + n + block] != y[j + n : j + n + block]:
+            differ = np.frombuffer(x, U64, block // 8, i + n) != np.frombuffer(y, U64, block // 8, j + n)
+            return n // 8 + int(differ.argmax())
+        n += block
+    return most // 8
+
 
+def _order(a: Suffix, b: Suffix) -> int:
+    n = 8 * common(a, b)
+    x, y = a[0][a[1] + n : a[1] + n + 8], b[0][b[1] + n : b[1] + n + 8]
+    return (x > y) - (x < y)
 
-def intervals(suffix: list[bytes], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+
+def intervals(suffix: list[Suffix], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """(words, lo, hi) of the intervals of sorted suffixes that are maximal to both sides and share ``least`` words.
 
     The stack holds the open intervals: common prefix, first suffix, and the word on the left, or ``many``.
@@ -241,34 +273,69 @@ def intervals(suffix: list[bytes], left: list[int], least: int) -> Iterator[tupl
             stack.append([shared, lo, own])
 
 
-def _grouped(suffixes: DataFrame, least: int) -> DataFrame:
-    """(group_id, words, h1, start) of every occurrence; a group's id is the hash of its words."""
+GROUPED = "group_id string, words int, h1 long, start int, every int, times int"
+
+
+def _grouped(suffixes: DataFrame, least: int, whole: bool) -> DataFrame:
+    """(group_id, words, h1, start, every, times) of every occurrence; a group's id is the hash of its words.
+
+    A row stands for the ``times`` occurrences at ``start``, ``start + every`` and so on. Without ``whole``, links are left out.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
         for t, bounds in runs(batches, "run"):
-            suffix, left = t["suffix"].to_pylist(), t["left"].to_pylist()
-            where, group, words, sizes = [], [], [], []
+            suffix, before, within = t["suffix"].to_pylist(), t["left"].to_pylist(), t["inner"].to_pylist()
+            h1, start, every = (np.asarray(t[c]) for c in ("h1", "start", "every"))
+            links = np.asarray(t["links"]) * whole
             for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-                for n, lo, hi in intervals(suffix[a:z], left[a:z], least):
-                    where.append(np.arange(a + lo, a + hi))
-                    group.append(hashlib.blake2b(suffix[a + lo][: 8 * n], digest_size=16).hexdigest())
-                    words.append(n)
-                    sizes.append(hi - lo)
-            if not where:
-                continue
-            at, of = np.concatenate(where), np.repeat(np.arange(len(where)), sizes)
-            for c in range(0, len(at), 100_000):
-                rows, own = pa.array(at[c : c + 100_000]), of[c : c + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group).take(pa.array(own)), pa.array(words, pa.int32()).take(pa.array(own)), t["h1"].combine_chunks().take(rows), t["start"].combine_chunks().take(rows)], ["group_id", "words", "h1", "start"]
-                )
-
-    return suffixes.repartition("run").sortWithinPartitions("run", "suffix").mapInArrow(run, "group_id string, words int, h1 long, start int")
-
-
-def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(group_id, words, doc_id, h1, start) of all occurrences; ``h1`` is the hash of the document's text."""
+                row, k = _chained(links[a:z])
+                row += a
+                if len(row) < 2:
+                    continue
+                places = [(suffix[r], 8 * o) for r, o in zip(row.tolist(), (k * every[row]).tolist(), strict=True)]
+                if len(row) > z - a:
+                    order = sorted(range(len(row)), key=functools.cmp_to_key(lambda i, j, p=places: _order(p[i], p[j])))
+                    row, k, places = row[order], k[order], [places[i] for i in order]
+                left = [within[r] if n else before[r] for r, n in zip(row.tolist(), k.tolist(), strict=True)]
+                for n, lo, hi in intervals(places, left, least):
+                    own, link = row[lo:hi], k[lo:hi]
+                    times = np.ones(hi - lo, np.int64)
+                    if len(row) > z - a:
+                        order = np.lexsort((link, own))
+                        own, link = own[order], link[order]
+                        new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (link[1:] != link[:-1] + 1)))
+                        times = np.diff(np.append(new, len(own)))
+                        own, link = own[new], link[new]
+                    raw, at = places[lo]
+                    group = hashlib.blake2b(memoryview(raw)[at : at + 8 * n], digest_size=16).hexdigest()
+                    out.append((group, n, h1[own], start[own] + link * every[own], every[own], times))
+                    size += len(own)
+                    if size > 100_000:
+                        yield from _occurring(out)
+                        out, size = [], 0
+        yield from _occurring(out)
+
+    return suffixes.repartition("run").sortWithinPartitions("run", "suffix").mapInArrow(run, GROUPED)
+
+
+def _occurring(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if not out:
+        return
+    group, words, *columns = zip(*out, strict=True)
+    of = np.repeat(np.arange(len(out)), [len(c) for c in columns[0]])
+    h1, start, every, times = (np.concatenate(c) for c in columns)
+    for c in range(0, len(of), 100_000):
+        own = slice(c, c + 100_000)
+        which = pa.array(of[own])
+        made = [pa.array(group).take(which), pa.array(words, pa.int32()).take(which), pa.array(h1[own]), *(pa.array(x[own].astype(np.int32)) for x in (start, every, times))]
+        yield pa.RecordBatch.from_arrays(made, ["group_id", "words", "h1", "start", "every", "times"])
+
+
+def _found(docs: DataFrame, least: int, gram: int, whole: bool = True) -> DataFrame:
+    """(group_id, words, doc_id, h1, start, every, times) of all occurrences; ``h1`` is the hash of the document's text."""
     rows = only(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h1", F.xxhash64("text"))
     count = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
     meta = written(rows.groupBy("doc_id", "h1", F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.count("*").alias("rows"), F.max(count).alias("words")), "texts")
@@ -286,18 +353,27 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
     zones = written(zones, "zones")
 
     same = Window.partitionBy("run")
-    diverse = F.min("left").over(same) != F.max("left").over(same)
-    starts = _starts(zones, least).withColumns({"n": F.count("*").over(same), "diverse": diverse}).where("n > 1")
-    by_zone = starts.groupBy("h1", "zone").agg(F.collect_list(F.expr("struct(at, chain, if(diverse, run, null) AS run, if(diverse, left, null) AS left)")).alias("met"), F.max("diverse").alias("any"))
+    diverse = F.min(F.least("left", "inner")).over(same) != F.max(F.greatest("left", "inner")).over(same)
+    starts = _starts(zones, least).withColumns({"n": F.sum(F.col("links") + 1).over(same), "diverse": diverse}).where("n > 1")
+    chain = "struct(at, every, links, if(diverse, run, null) AS run, if(diverse, left, null) AS left, if(diverse, inner, null) AS inner)"
+    by_zone = starts.groupBy("h1", "zone").agg(F.collect_list(F.expr(chain)).alias("met"), F.max("diverse").alias("any"))
     suffixes = by_zone.where("any").join(zones.select("h1", "zone", "words"), ["h1", "zone"]).select("h1", "zone", "words", "met")
-    groups = _grouped(_suffixes(suffixes, least), least).join(copies.select("h1", F.col("rep").alias("doc_id")), "h1").select("group_id", "words", "doc_id", "h1", "start")
+    columns = ["group_id", "words", "doc_id", "h1", "start", "every", "times"]
+    groups = _grouped(_suffixes(suffixes, least), least, whole).join(copies.select("h1", F.col("rep").alias("doc_id")), "h1").select(*columns)
     equal = copies.where("n > 1").where(F.col("words") >= least).select(F.concat(F.lit("text:"), F.hex("h1"), F.hex("h2")).alias("group_id"), "words", "h1", "h2")
-    return groups.unionByName(equal.join(meta.select("doc_id", "h1", "h2"), ["h1", "h2"]).select("group_id", "words", "doc_id", "h1", F.lit(0).alias("start")))
+    once = {"start": F.lit(0), "every": F.lit(0), "times": F.lit(1)}
+    return groups.unionByName(equal.join(meta.select("doc_id", "h1", "h2"), ["h1", "h2"]).withColumns(once).select(*columns))
 
 
 def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(group_id, words, doc_id, start): the short form, with the first start of each chain."""
+    return _found(docs, least, gram, whole=False).select("group_id", "words", "doc_id", "start")
+
+
+def occurrences(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(group_id, words, doc_id, start): every occurrence of every maximal repeat of ``least`` words or more."""
-    return _found(docs, least, gram).select("group_id", "words", "doc_id", "start")
+    link = F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("link")
+    return _found(docs, least, gram).select("*", link).select("group_id", "words", "doc_id", (F.col("start") + F.col("every") * F.col("link")).alias("start"))
 
 
 def expanded(groups: DataFrame) -> DataFrame:
@@ -330,7 +406,10 @@ def keep_first(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFra
     """
     found = written(_found(docs, least, gram), "repeats")
     first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    cut = found.join(first, "group_id").where(F.struct("doc_id", "start") != F.col("first"))
+    # a chain's occurrences overlap, so what is cut is one span: all of it, or what follows the first start
+    stays = (F.struct("doc_id", "start") == F.col("first")).cast("int")
+    cut = found.join(first, "group_id").withColumn("skip", stays).where("times > skip")
+    cut = cut.withColumns({"start": F.expr("start + skip * every"), "words": F.expr("words + (times - 1 - skip) * every")})
     spans = cut.groupBy(F.col("doc_id").alias("__doc"), F.col("h1").alias("__h1")).agg(F.sort_array(F.collect_set(F.struct("start", "words"))).alias("__spans"))
 
     @F.arrow_udf("string")

@@ -121,3 +121,49 @@ def test_anchor_guarantee():
     for lo, hi in ((0, 150), (160, 400)):
         for p in range(lo, hi - 49):
             assert ((at >= p) & (at + 16 <= p + 50)).any()
+
+
+def plain(docs, least):
+    """The rows that ``keep_first`` has to leave: words not in a later occurrence of a maximal repeat, by brute force."""
+    texts = {}
+    for d, t in sorted(docs):
+        texts.setdefault(t, d)
+    gone = {d: set() for d, _ in docs}
+    for n, where in brute(docs, least):
+        for d, i in sorted(where)[1:]:
+            gone[d].update(range(i, i + n))
+    out = {}
+    for d, t in docs:
+        w = t.split()
+        left = [x for i, x in enumerate(w) if i not in gone[d]] if texts[t] == d or len(w) < least else []
+        if left or not w:
+            out[d] = " ".join(left)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlapping_occurrences_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    lines = [[f"a{i}" for i in range(n)] for n in (1, 2, 4, 5, 7)] + ["b c b b c".split()]
+    docs = []
+    for d in range(24):
+        w = []
+        for _ in range(rng.randint(1, 3)):
+            w += [f"u{d}"] * rng.randint(0, 1) + rng.choice(lines) * rng.randint(2, 8) + [rng.choice("xyz")] * rng.randint(0, 2)
+        docs.append((d, " ".join(w[rng.randint(0, 3) :])))
+    docs.append((30, "n " * 40))
+    df = spark.createDataFrame(docs, SCHEMA)
+    rows = repeats.occurrences(df, LEAST, GRAM).collect()
+    keys = [tuple(r) for r in rows]
+    assert len(set(keys)) == len(keys)
+    assert groups_of(rows) == brute(docs, LEAST)
+    assert {r["doc_id"]: r["text"] for r in repeats.keep_first(df, LEAST, GRAM).collect()} == plain(docs, LEAST)
+
+
+def test_repeated_line_keeps_every_occurrence(spark):
+    line = " ".join(f"w{i}" for i in range(32))
+    df = spark.createDataFrame([(1, " ".join([line] * 3)), (2, " ".join([line] * 8))], SCHEMA)
+    groups = {n: where for n, where in groups_of(repeats.occurrences(df).collect())}
+    assert groups[96] == {(1, 0)} | {(2, 32 * k) for k in range(6)}
+    assert groups[224] == {(2, 0), (2, 32)}
+    assert [(r["doc_id"], r["text"]) for r in repeats.keep_first(df).collect()] == [(1, line)]
