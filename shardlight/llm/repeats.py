@@ -15,8 +15,9 @@ Finding the suffixes that need this takes three passes, none of which drops a ca
 3. Starts. A run of ``least`` words that occurs twice, with two different words before, starts some maximal repeat.
    Its suffix goes to the sub-tree of its run, with the words up to the end of its zone.
 
-Equal texts are one text: they share every repeat, so the occurrences in it are listed once, under the smallest id,
-and the equal texts themselves are a group that lists all their ids; ``expanded`` joins the two. Where a run overlaps itself within a text (a word or line said over and over) its starts are
+Equal texts are one text while repeats are sought, as they share them all; ``occurrences`` lists each passage under every id
+that has it. In the short form, and for ``keep_first``, it is listed under the smallest id. The equal texts themselves
+are a group too, of all their ids. Where a run overlaps itself within a text (a word or line said over and over) its starts are
 one chain: the first, the step to the next and the number of links. A chain is shipped with one suffix, of which the others
 are slices, so such text costs little until its occurrences are written out, of which there are by definition many.
 
@@ -334,8 +335,11 @@ def _occurring(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(made, ["group_id", "words", "h1", "start", "every", "times"])
 
 
-def _found(docs: DataFrame, least: int, gram: int, whole: bool = True) -> DataFrame:
-    """(group_id, words, doc_id, h1, start, every, times) of all occurrences; ``h1`` is the hash of the document's text."""
+def _found(docs: DataFrame, least: int, gram: int, whole: bool = True, each: bool = False) -> DataFrame:
+    """(group_id, words, doc_id, h1, start, every, times) of all occurrences; ``h1`` is the hash of the document's text.
+
+    Those in equal texts are under the smallest of their ids, or with ``each`` under all.
+    """
     rows = only(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h1", F.xxhash64("text"))
     count = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
     meta = written(rows.groupBy("doc_id", "h1", F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.count("*").alias("rows"), F.max(count).alias("words")), "texts")
@@ -359,21 +363,22 @@ def _found(docs: DataFrame, least: int, gram: int, whole: bool = True) -> DataFr
     by_zone = starts.groupBy("h1", "zone").agg(F.collect_list(F.expr(chain)).alias("met"), F.max("diverse").alias("any"))
     suffixes = by_zone.where("any").join(zones.select("h1", "zone", "words"), ["h1", "zone"]).select("h1", "zone", "words", "met")
     columns = ["group_id", "words", "doc_id", "h1", "start", "every", "times"]
-    groups = _grouped(_suffixes(suffixes, least), least, whole).join(copies.select("h1", F.col("rep").alias("doc_id")), "h1").select(*columns)
+    ids = meta.select("h1", "doc_id") if each else copies.select("h1", F.col("rep").alias("doc_id"))
+    groups = _grouped(_suffixes(suffixes, least), least, whole).join(ids, "h1").select(*columns)
     equal = copies.where("n > 1").where(F.col("words") >= least).select(F.concat(F.lit("text:"), F.hex("h1"), F.hex("h2")).alias("group_id"), "words", "h1", "h2")
     once = {"start": F.lit(0), "every": F.lit(0), "times": F.lit(1)}
     return groups.unionByName(equal.join(meta.select("doc_id", "h1", "h2"), ["h1", "h2"]).withColumns(once).select(*columns))
 
 
 def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(group_id, words, doc_id, start): the short form, with the first start of each chain."""
+    """(group_id, words, doc_id, start): the short form, with the first start of each chain, in the first of equal texts."""
     return _found(docs, least, gram, whole=False).select("group_id", "words", "doc_id", "start")
 
 
 def occurrences(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(group_id, words, doc_id, start): every occurrence of every maximal repeat of ``least`` words or more."""
+    """(group_id, words, doc_id, start): every occurrence, in every document, of every maximal repeat of ``least`` words or more."""
     link = F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("link")
-    return _found(docs, least, gram).select("*", link).select("group_id", "words", "doc_id", (F.col("start") + F.col("every") * F.col("link")).alias("start"))
+    return _found(docs, least, gram, each=True).select("*", link).select("group_id", "words", "doc_id", (F.col("start") + F.col("every") * F.col("link")).alias("start"))
 
 
 def expanded(groups: DataFrame) -> DataFrame:

@@ -156,7 +156,8 @@ def test_overlapping_occurrences_against_brute_force(spark, seed):
     rows = repeats.occurrences(df, LEAST, GRAM).collect()
     keys = [tuple(r) for r in rows]
     assert len(set(keys)) == len(keys)
-    assert groups_of(rows) == brute(docs, LEAST)
+    same = {d: [e for e, u in docs if u == t] for d, t in docs}
+    assert groups_of(rows) == {(n, frozenset((e, i) for d, i in where for e in same[d])) for n, where in brute(docs, LEAST)}
     assert {r["doc_id"]: r["text"] for r in repeats.keep_first(df, LEAST, GRAM).collect()} == plain(docs, LEAST)
 
 
@@ -167,3 +168,12 @@ def test_repeated_line_keeps_every_occurrence(spark):
     assert groups[96] == {(1, 0)} | {(2, 32 * k) for k in range(6)}
     assert groups[224] == {(2, 0), (2, 32)}
     assert [(r["doc_id"], r["text"]) for r in repeats.keep_first(df).collect()] == [(1, line)]
+
+
+def test_occurrences_name_every_copy(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, f"a {passage} b"), (2, f"c d {passage}"), (3, f"c d {passage}"), (3, "another text"), (4, f"c d {passage}"), (4, f"c d {passage}")]
+    rows = repeats.occurrences(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert len(rows) == 7
+    assert groups_of(rows) == {(60, frozenset({(1, 1), (2, 2), (3, 2), (4, 2)}))}
+    assert {(r["words"], r["doc_id"]) for r in rows if r["group_id"].startswith("text:")} == {(62, 2), (62, 3), (62, 4)}
