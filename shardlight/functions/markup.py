@@ -12,8 +12,6 @@ import re
 
 from .walkers import BROKEN, DONE, GOING
 
-#: Longest unfinished tag that is carried on.
-HELD_MOST = 1 << 16
 _CONTROL = bytes(b for b in range(32) if b not in (9, 10, 13))
 _TAG = re.compile(rb"<(/)?([A-Za-z0-9_]+)([^>]*)>")
 VOID = frozenset(b"area base br col embed hr img input link meta param source track wbr !doctype".split())
@@ -28,6 +26,7 @@ class Text:
     def __init__(self) -> None:
         self.stack: tuple | None = None
         self.held = b""
+        self.more: tuple | None = None  # clusters after ``held`` that the unfinished tag fills: a linked list, (cluster, below)
         self.inside = b""  # what ends the comment, section or string that is open
         self.tags = 0
         self.done_at: int | None = None
@@ -49,19 +48,30 @@ class Text:
         """Bytes of the last cluster up to the end of its last tag."""
         return self.done_at or 0
 
+    def unfinished(self, cluster: bytes) -> bool:
+        """Whether the tag that is carried goes on past this cluster, whatever its length."""
+        return False
+
     def events(self, data: bytes) -> tuple[list[Event], bytes, bool]:
         """(name, closes, end) of each tag, what is carried on, and whether the bytes are impossible in this format."""
         raise NotImplementedError
 
     def feed(self, cluster: bytes) -> str:
         cluster = cluster.rstrip(b"\0")
-        carried = len(self.held)
-        data = self.held + cluster
         self.done_at, self.tags = None, 0
-        if len(data) != len(data.translate(None, _CONTROL)):
+        if len(cluster) != len(cluster.translate(None, _CONTROL)):
             return BROKEN
+        if self.unfinished(cluster):
+            self.more = (cluster, self.more)
+            return GOING
+        parts = [cluster]
+        while self.more:
+            parts.append(self.more[0])
+            self.more = self.more[1]
+        data = b"".join([self.held, *reversed(parts)])
+        carried = len(data) - len(cluster)
         found, self.held, bad = self.events(data)
-        if bad or len(self.held) > HELD_MOST:
+        if bad:
             return BROKEN
         for name, closes, end in found:
             if not closes:
@@ -81,6 +91,10 @@ class Text:
 class Xml(Text):
     OPENERS = ((b"<!--", b"-->"), (b"<![CDATA[", b"]]>"))
 
+    def unfinished(self, cluster: bytes) -> bool:
+        # with as many bytes as the longest opener, what is carried is no comment or section
+        return not self.inside and len(self.held) >= 9 and b">" not in cluster
+
     def keep(self, name: bytes, rest: bytes) -> bool:
         return not rest.rstrip().endswith((b"/", b"?"))
 

@@ -238,3 +238,20 @@ def test_options():
     opt = CarveOptions(formats=(" PNG", "docx", "zip", "nope"))
     assert [f.name for f in opt.active()] == ["png", "zip"] and opt.unknown() == ["nope"]
     assert CarveOptions(max_file_bytes=100).max_file_bytes == 100
+
+
+@pytest.mark.parametrize("cut", [700, 4096])
+@pytest.mark.parametrize("kind", [markup.Html, markup.Xml])
+def test_tag_of_any_length_is_carried(kind, cut):
+    page = b"<html><p>a</p><e src='data:" + b"QUJD" * 50_000 + b"'/><p>b</p></html>"
+    parser, verdicts = kind(), []
+    for at in range(0, len(page), cut):
+        verdicts.append(parser.feed(page[at : at + cut]))
+    assert set(verdicts[:-1]) == {GOING} and verdicts[-1] == DONE
+    assert parser.advance == len(page) - len(page) // cut * cut
+    parser = kind()
+    assert parser.feed(b"<html><e src='" + b"x" * 70_000) == GOING
+    other = parser.clone()
+    assert other.feed(b"yy") == GOING
+    assert (parser.feed(b"'/></html>"), parser.advance) == (DONE, 10)
+    assert (other.feed(b"'/></html>"), other.advance) == (DONE, 10)
