@@ -18,7 +18,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.occurrences(table(spark, sf_dir, "documents"))
+    return repeats.repeat_tree(table(spark, sf_dir, "documents"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

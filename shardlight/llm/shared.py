@@ -81,23 +81,24 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
-SIEVE_BITS = 24
+#: Bits of the bitmap for each key, and bounds of its size as a power of 2: 8 KB to 32 MB.
+SIEVE_SPARE, SIEVE_LEAST, SIEVE_MOST = 16, 16, 28
 
 
 def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two: those whose key may be among the values of ``keys``, a table of one column, and those whose key isn't.
 
-    Texts that a join would only carry along needn't be shuffled. The keys' hashes are set in a bitmap of ``2**SIEVE_BITS`` bits, 2 MB
-    whatever the data, which is broadcast. With more keys than bits more rows pass, at worst all: then the join that
-    follows sorts it out as it would have anyway. Null keys may be in either part.
+    Rows that a join would only carry along needn't be shuffled. The keys' hashes are set in a bitmap, sized by their number up to
+    ``2**SIEVE_MOST`` bits, which is broadcast. With more keys than that more rows pass, at worst all: then the join that
+    follows sorts it out as it would have anyway. ``keys`` is counted, so it should be a written table. Null keys may be in either part.
     """
     kept = [F.col(f"`{c}`") for c in rows.columns]
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
-    bits = keys.toDF("key").select(place(F.col("key")).alias("bit"))
-    maps = bits.groupBy(F.expr("shiftright(bit, 15)").alias("__part")).agg(F.bitmap_construct_agg(F.expr("bit & 32767")).alias("__map"))
-    at = place(key)
+    bits = min(SIEVE_MOST, max(SIEVE_LEAST, (SIEVE_SPARE * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    marked = keys.toDF("key").select(place(F.col("key")).alias("bit"))
+    maps = marked.groupBy(F.expr("shiftright(bit, 15)").alias("__part")).agg(F.bitmap_construct_agg(F.expr("bit & 32767")).alias("__map"))
     byte = F.conv(F.hex(F.substring(F.col("__map"), F.expr("cast((__bit & 32767) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("__bit", at).join(F.broadcast(maps), F.expr("shiftright(__bit, 15)") == F.col("__part"), "left")
+    met = rows.withColumn("__bit", place(key)).join(F.broadcast(maps), F.expr("shiftright(__bit, 15)") == F.col("__part"), "left")
     may = F.coalesce(F.expr("shiftright({b}, cast(__bit & 7 as int)) & 1".replace("{b}", "__byte")) == 1, F.lit(False))
     met = met.withColumn("__byte", byte).withColumn("__may", may)
     return met.where("__may").select(*kept), met.where("NOT __may").select(*kept)

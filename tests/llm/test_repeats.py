@@ -66,37 +66,60 @@ def test_against_brute_force(spark, seed):
             w += p
         docs.append((d, " ".join(w)))
     docs += [(100, docs[3][1]), (101, docs[3][1])]
-    # places within one text that overlap themselves are left to the test below
-    got = groups_of(repeats.repeat_groups(spark.createDataFrame(docs, SCHEMA), LEAST, GRAM).collect())
-    assert got == brute(docs, LEAST)
+    got = groups_of(repeats.occurrences(spark.createDataFrame(docs, SCHEMA), LEAST, GRAM).collect())
+    same = {d: [e for e, u in docs if u == t] for d, t in docs}
+    assert got == {(n, frozenset((e, i) for d, i in where for e in same[d])) for n, where in brute(docs, LEAST)}
 
 
 def test_planted_passage_copies_and_clean(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     docs = [(1, f"a b {passage} c d"), (2, f"e {passage}\nf"), (3, passage), (4, passage), (5, " ".join(f"z{i}" for i in range(200)))]
-    rows = repeats.repeat_groups(spark.createDataFrame(docs, SCHEMA)).collect()
+    rows = repeats.occurrences(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {r["doc_id"] for r in rows} == {1, 2, 3, 4}
-    assert groups_of(rows) == {(60, frozenset({(1, 2), (2, 1), (3, 0)}))}
+    assert groups_of(rows) == {(60, frozenset({(1, 2), (2, 1), (3, 0), (4, 0)}))}
     assert {(r["doc_id"], r["start"]) for r in rows if r["group_id"].startswith("text:")} == {(3, 0), (4, 0)}
-    whole = repeats.expanded(spark.createDataFrame(rows)).where("group_id NOT LIKE 'text:%'").collect()
-    assert {(r["doc_id"], r["start"]) for r in whole} == {(1, 2), (2, 1), (3, 0), (4, 0)}
 
 
-def test_self_overlap_gives_no_flood(spark):
-    docs = [(1, "the " * 3000), (2, "x " + "the " * 200 + "y"), (3, " ".join(f"l{i % 60}" for i in range(600)))]
-    rows = repeats.repeat_groups(spark.createDataFrame(docs, SCHEMA)).collect()
-    assert len(rows) < 60
-    by_doc = {d: [r for r in rows if r["doc_id"] == d] for d in (1, 2, 3)}
-    assert any(r["words"] == 200 for r in by_doc[1]) and any(r["words"] == 200 for r in by_doc[2])
-    assert by_doc[3]
+def test_tree_is_linear_and_holds_every_occurrence(spark):
+    line = [f"l{i}" for i in range(60)]
+    docs = [(1, "the " * 3000), (2, "x " + "the " * 200 + "y"), (3, " ".join(line * 10))]
+    rows = repeats.repeat_tree(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {tuple(r) for r in map(list, rows)} and len(rows) < 2 * (3000 + 200 + 10)
+    places = [r for r in rows if r["kind"] == "place"]
+    groups = [r for r in rows if r["kind"] == "repeat"]
+    assert {(r["doc_id"], r["start"]) for r in places} == {(1, i) for i in range(2951)} | {(2, 1 + i) for i in range(151)} | {(3, 60 * i) for i in range(10)}
+    # "the" said 50 to 2999 times, at each place where so many follow
+    by_words = {r["words"]: r for r in groups if r["doc_id"] == 1}
+    assert sorted(by_words) == list(range(50, 3000))
+    assert all(r["n"] == (3001 - n) + max(0, 201 - n) for n, r in by_words.items())
+    for n in (50, 200, 201, 2999):
+        g = by_words[n]
+        assert sum(g["tree"] == r["tree"] and g["lo"] <= r["lo"] <= g["hi"] for r in places) == g["n"]
+    assert sorted(r["words"] for r in groups if r["doc_id"] == 3) == [60 * k for k in range(1, 10)]
+
+
+def test_near_copies_give_linear_rows(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(600)]
+    docs = []
+    for d in range(80):
+        w = list(base)
+        w[rng.randrange(600)] = f"changed{d}"
+        docs.append((d, " ".join(w)))
+    df = spark.createDataFrame(docs, SCHEMA)
+    rows = repeats.repeat_tree(df).collect()
+    places = sum(r["kind"] == "place" for r in rows)
+    assert places <= 80 * 82 and sum(r["kind"] == "repeat" for r in rows) < places
+    assert {r["doc_id"]: r["text"] for r in repeats.keep_first(df).collect()} == plain(docs, 50)
+    assert groups_of(repeats.occurrences(df).collect()) == brute(docs, 50)
 
 
 def test_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(30_000))
     docs = [(None, long, 1), (1, None, 1), (2, "", 1), (3, "one two", 1), (4, long, 1), (4, long, 1), (5, "t " + long, 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, start int")
-    assert groups_of(repeats.repeat_groups(df).collect()) == {(30_000, frozenset({(4, 0), (5, 1)}))}
-    assert repeats.repeat_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert groups_of(repeats.occurrences(df).collect()) == {(30_000, frozenset({(4, 0), (5, 1)}))}
+    assert repeats.occurrences(spark.createDataFrame([], SCHEMA)).collect() == []
     kept = repeats.keep_first(df)
     assert kept.columns == df.columns
     rows = {(r["doc_id"], r["text"]) for r in kept.collect()}
