@@ -34,6 +34,7 @@ an empty table gives none.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,27 +317,36 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, _INT64)) for c, n in zip(columns, names, strict=True)], names)
 
 
-def _total(code: np.ndarray) -> int:
-    times = np.where(code["up"] == 1, ~code["times"].astype(np.uint32), code["times"].astype(np.uint32))
-    return int((times.astype(np.int64) * code["words"].astype(np.int64)).sum())
+_UNPACK = struct.Struct(">QBII")
+_SHORT = 16 * TOKEN.itemsize
+
+
+def _total(path: bytes) -> int:
+    """Words of a path."""
+    if len(path) <= _SHORT:
+        return sum((times ^ 0xFFFFFFFF if up else times) * words for _, up, times, words in _UNPACK.iter_unpack(path))
+    code = np.frombuffer(path, TOKEN)
+    times = code["times"].astype(np.int64)
+    return int((np.where(code["up"] == 1, times ^ 0xFFFFFFFF, times) * code["words"]).sum())
 
 
 def common(a: bytes, b: bytes) -> int:
     """Words that two paths share."""
     n = min(len(a), len(b))
-    at, block = 0, 1 << 9
-    while at < n and a[at : at + block] == b[at : at + block]:
+    at, block = 0, _SHORT
+    while at < n and a[at : at + block] == b[at : at + block]:  # equal blocks, ever longer
         at += block
         block *= 2
     if at < n:
         x, y = a[at : min(n, at + block)], b[at : min(n, at + block)]
         differ = int.from_bytes(x) ^ int.from_bytes(y)
         at = at + len(x) - (differ.bit_length() + 7) // 8 if differ else n
-    whole = min(at, n) // TOKEN.itemsize
-    x, y = np.frombuffer(a, TOKEN), np.frombuffer(b, TOKEN)
-    shared = _total(x[:whole])
-    if whole < min(len(x), len(y)) and x[whole]["hash"] == y[whole]["hash"] and x[whole]["words"] == y[whole]["words"]:
-        shared += min(_total(x[whole : whole + 1]), _total(y[whole : whole + 1]))
+    whole = min(at, n) // TOKEN.itemsize * TOKEN.itemsize
+    shared = _total(a[:whole]) if whole else 0
+    if whole < n:
+        x, y = a[whole : whole + TOKEN.itemsize], b[whole : whole + TOKEN.itemsize]
+        if x[:8] == y[:8] and x[13:] == y[13:]:
+            shared += min(_total(x), _total(y))
     return shared
 
 
@@ -417,7 +427,7 @@ class _Scan:
             self.down_to(0)
             self.tree, self.rank = tree, 0
         self.last = path
-        self.stack.append(_Open(self.least + _total(np.frombuffer(path, TOKEN)), self.rank, left[0] if left[0] == left[1] else _MANY, n, first, [(first, self.rank, path_id, n, 0)]))
+        self.stack.append(_Open(self.least + _total(path), self.rank, left[0] if left[0] == left[1] else _MANY, n, first, [(first, self.rank, path_id, n, 0)]))
 
     def flushed(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, [[] for _ in _SCANNED]
