@@ -97,8 +97,9 @@ def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Da
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     marked = keys.toDF("key").select(place(F.col("key")).alias("bit"))
     maps = marked.groupBy(F.expr("shiftright(bit, 15)").alias("__part")).agg(F.bitmap_construct_agg(F.expr("bit & 32767")).alias("__map"))
-    byte = F.conv(F.hex(F.substring(F.col("__map"), F.expr("cast((__bit & 32767) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    # as an array of 32-bit words, which a join can look into without copying it
+    maps = maps.withColumn("__map", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring(F.col("__map"), 4 * i + 1, F.lit(4))), 16, 10).cast("long")))
     met = rows.withColumn("__bit", place(key)).join(F.broadcast(maps), F.expr("shiftright(__bit, 15)") == F.col("__part"), "left")
-    may = F.coalesce(F.expr("shiftright({b}, cast(__bit & 7 as int)) & 1".replace("{b}", "__byte")) == 1, F.lit(False))
-    met = met.withColumn("__byte", byte).withColumn("__may", may)
+    word, shift = "get(__map, cast((__bit & 32767) div 32 as int))", "cast((3 - (__bit & 31) div 8) * 8 + (__bit & 7) as int)"
+    met = met.withColumn("__may", F.coalesce(F.expr(f"(shiftright({word}, {shift}) & 1) = 1"), F.lit(False)))
     return met.where("__may").select(*kept), met.where("NOT __may").select(*kept)
