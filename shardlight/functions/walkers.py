@@ -312,8 +312,6 @@ def mp3(v: View, s: State) -> State:
 
 def boxes(v: View, s: State) -> State:
     """MP4 and MOV."""
-    if s.ok and (tail := v.rest(s.pos)) and len(tail) < 8 and not any(tail):
-        return replace(s, end=s.pos)
     b = v.get(s.pos, 8)
     size = be(b)
     good = re.fullmatch(rb"[A-Za-z0-9 _]{4}", b[4:]) is not None
@@ -591,8 +589,10 @@ class Walker:
             self.state = replace(self.state, pos=self.view.end, mem=None)
 
     def finish(self) -> str:
-        """At the end of the image: a picture without its optional palette is whole."""
+        """At the end of the image: a picture without its optional palette is whole, and so are boxes before fewer than 8 zeros."""
         s = self.state
+        if self.step is boxes and s.ok and s.end is None and (tail := self.view.rest(s.pos)) and len(tail) < 8 and not any(tail):
+            self.state = replace(s, end=s.pos)
         if isinstance(s.mem, tuple) and s.mem and s.mem[0] == 0 and self.step is pcx and s.end is None:
             self.state = replace(s, end=s.pos)
         return self._verdict()

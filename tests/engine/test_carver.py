@@ -229,3 +229,13 @@ def test_command_line(spark, write, tmp_path):
     assert cli.main(["-i", str(tmp_path / "none"), "-o", str(tmp_path)]) == 1
     assert cli.main(["-i", path, "-o", str(tmp_path), "-c", "0"]) == 1
     assert cli.main(["dashboard", "-i", str(folder / "carve_report.json"), "-o", str(tmp_path / "d.html")]) == 0
+
+
+def test_odd_headers_and_overlapping_ones_are_found(spark):
+    from shardlight.functions.catalogue import linear
+
+    rows = [("a", 0, bytearray(b"xA\\EByA\\EB"), bytearray()), ("b", 0, bytearray(b"XYXYXY.\n$^(["), bytearray()), ("c", 0, bytearray(b"none"), bytearray())]
+    clusters = spark.createDataFrame(rows, "image string, start_offset long, bytes binary, halo binary")
+    formats = [linear("e", b"A\\EB", b"!"), linear("x", b"XYXY", b"!"), linear("r", b"$^([", b"!"), linear("n", b".\n", b"!")]
+    found = {(r["image"], r["start_offset"], r["format"]) for r in scan.hits(clusters, formats).collect()}
+    assert found == {("a", 1, "e"), ("a", 6, "e"), ("b", 0, "x"), ("b", 2, "x"), ("b", 8, "r"), ("b", 6, "n")}

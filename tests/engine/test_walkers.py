@@ -255,3 +255,14 @@ def test_tag_of_any_length_is_carried(kind, cut):
     assert other.feed(b"yy") == GOING
     assert (parser.feed(b"'/></html>"), parser.advance) == (DONE, 10)
     assert (other.feed(b"'/></html>"), other.advance) == (DONE, 10)
+
+
+@pytest.mark.parametrize("name", ["mp4", "mov"])
+def test_box_boundary_in_the_last_bytes_of_a_cluster(name):
+    head = b"\0\0\0\x10ftypisomabcd" if name == "mp4" else b"\0\0\0\x08wide"
+    for short in range(1, 9):
+        fill = 512 - len(head) - short - 8
+        data = head + (fill + 8).to_bytes(4, "big") + b"free" + bytes([7]) * fill + (3008).to_bytes(4, "big") + b"mdat" + bytes(range(250)) * 12
+        assert [(f.status, body) for f, body in carved(data + bytes(1024), 512, formats=(name,))] == [("complete", data)]
+        # at the end of the image a few zeros are no box
+        assert [f.status for f, _ in carved(data + bytes(5), 512, formats=(name,))] == ["complete"]
