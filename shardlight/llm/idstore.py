@@ -9,14 +9,15 @@ One table holds all, by ``kind``: ``chunk`` (key, n, ids), ``recipe`` (doc_id, k
 ``manifest`` (level, bucket, key, n = children).
 
 Defined cases: a null text has a recipe with null ``n``, ``chunks`` and ``key``; an empty one has no chunks and the root of
-nothing; rows that share an id each have a recipe; null ids are kept, and form a bucket of their own; other columns
-aren't read; an empty table gives no rows.
+nothing; rows that share an id each have a recipe; null ids are kept, and form a bucket of their own; texts of any length, and
+any run of one character in them, are encoded as a whole; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,26 @@ def encoding(ranks: str) -> tiktoken.Encoding:
     return _encodings[ranks]
 
 
+#: White space as the pattern has it, in runs that its look-ahead can't take whole.
+_SPACES = re.compile("[ \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
+def encoded(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text of any length.
+
+    The pattern's ``\\s+(?!\\S)`` needs stack for each character of a run of white space. Of long runs the piece that it would
+    match, all but the last character before another one, is encoded by itself; the ids are the same.
+    """
+    ids: list[int] = []
+    at = 0
+    for m in _SPACES.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc.encode_ordinary(text[at : m.start()])
+        ids += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return np.array(ids + enc.encode_ordinary(text[at:]), np.uint16)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of a stream; each has ``LEAST`` to ``MOST`` ids, the last may be shorter."""
     n = len(ids)
@@ -85,7 +106,7 @@ def _staged(docs: DataFrame, ranks: str) -> DataFrame:
                 if text is None:
                     rows.append(("recipe", None, doc_id, None, None, None))
                 else:
-                    ids = np.array(enc.encode_ordinary(text), np.uint16)
+                    ids = encoded(enc, text)
                     keys, start = [], 0
                     for end in cuts(ids):
                         raw = ids[start:end].astype("<u2").tobytes()
@@ -111,14 +132,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+#: Children of a manifest's node. A range of ids with more is cut again by key, so no row grows with the table.
+FAN = 4096
+
+
 def manifests(recipes: DataFrame) -> DataFrame:
-    """(level, bucket, key, n): nodes over ranges of 4096 ids, then of 2**24, 2**40, and all; children are sorted by bucket or id, then key."""
+    """(level, bucket, key, n): nodes over ranges of 4096 ids, then of 2**24, 2**40, 2**52, and all; children are sorted by bucket or id, then key.
+
+    A node's hash covers its children's keys. Ids that are null, or shared by many rows, can crowd one range: its children are first
+    hashed in parts of about ``FAN``, by a hash, and the node covers the parts' hashes; equal children are one with a number. ``n`` counts all children.
+    """
     below, out = recipes.where("key IS NOT NULL").select(F.col("doc_id").alias("at"), "key"), None
-    for level, shift in enumerate((12, 12, 16, None), 1):
+    hashed = lambda column: F.unhex(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(column)), lambda x: F.concat(F.hex(x["key"]), F.when(x["times"] > 1, F.concat(F.lit("x"), x["times"].cast("string"))).otherwise("")))).cast("binary"), 256)).alias("key")
+    for level, shift in enumerate((12, 12, 16, 12, None), 1):
         bucket = F.lit(0).cast("long") if shift is None else F.shiftright("at", shift)
-        nodes = below.groupBy(bucket.alias("bucket")).agg(
-            F.unhex(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: F.hex(x["key"]))).cast("binary"), 256)).alias("key"), F.count("*").cast("int").alias("n")
-        )
+        own = below.groupBy(bucket.alias("bucket"), "at", "key").agg(F.count("*").alias("times"))
+        crowded = own.groupBy("bucket").count().withColumn("parts", F.ceil(F.col("count") / FAN)).select(F.col("bucket").alias("b"), "parts")
+        own = own.join(crowded, own.bucket.eqNullSafe(F.col("b"))).withColumn("part", F.pmod(F.xxhash64("at", "key"), F.col("parts")))
+        parts = own.groupBy("bucket", "part").agg(hashed(F.struct("at", "key", "times")), F.sum("times").alias("n"))
+        nodes = parts.groupBy("bucket").agg(F.count("*").alias("several"), F.first("key").alias("only"), hashed(F.struct("part", "key", F.lit(1).alias("times"))), F.sum("n").cast("int").alias("n"))
+        nodes = nodes.select("bucket", F.when(F.col("several") == 1, F.col("only")).otherwise(F.col("key")).alias("key"), "n")
         one = nodes.select(F.lit(level).alias("level"), "bucket", "key", "n")
         out = one if out is None else out.unionByName(one)
         below = nodes.select(F.col("bucket").alias("at"), "key")
@@ -147,9 +180,9 @@ def reconstructed(rows: DataFrame) -> DataFrame:
 def faults(rows: DataFrame) -> DataFrame:
     """(what, count): chunks whose bytes don't hash to their key, recipes whose root or length differs, manifests that differ."""
 
-    @F.udf("binary")
-    def root(keys: list[bytes]) -> bytes:
-        return merkle_root([bytes(k) for k in keys])
+    @F.arrow_udf("binary")
+    def root(keys: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else merkle_root(k) for k in keys.to_pylist()], pa.binary())
 
     chunk = rows.where("kind = 'chunk'").where(F.unhex(F.sha2("ids", 256)) != F.col("key")).agg(F.lit("chunk").alias("what"), F.count("*").alias("count"))
     recipes = rows.where("kind = 'recipe' AND key IS NOT NULL")

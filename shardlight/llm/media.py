@@ -7,10 +7,10 @@ peaks in its target zone, 1 to ``ZONE_T`` frames later and within ``ZONE_F`` bin
 bin, the second bin and the frames between, so it doesn't depend on where in the recording it lies. Codes and their times
 are two arrays of equal length, ordered by time.
 
-Long recordings are transformed block by block, with the frames around, so memory doesn't grow with their length.
+Long recordings are transformed block by block, with the frames around, so beside the file's own bytes and its codes nothing grows with its length.
 
 Defined cases: a null value gives null arrays and the error ``null``; bytes that aren't a PCM WAV give null arrays
-and the error ``unreadable``; a recording shorter than a frame, or silent, gives empty arrays; rows are handled one by
+and the error ``unreadable``; the rate is what the header says, up to 2**32 - 1; a recording shorter than a frame, or silent, gives empty arrays; rows are handled one by
 one, so repeated rows or null ids change nothing; other columns aren't read; an empty table gives none.
 
 The tables have no recordings, so ``tones`` makes one from each embedding, as a stand-in for a column of files.
@@ -35,20 +35,36 @@ ZONE_T, ZONE_F = 16, 32
 BLOCK = 4096
 
 
+class Recording:
+    """Samples between -1 and 1, averaged over channels, made from the file's bytes for the stretch that is asked for."""
+
+    def __init__(self, raw: bytes):
+        with wave.open(io.BytesIO(raw)) as w:
+            self.width, self.channels, self.rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+            self.data = w.readframes(w.getnframes())
+        self.size = len(self.data) // (self.width * self.channels)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        a, z, _ = span.indices(self.size)
+        frame = self.width * self.channels
+        data = self.data[a * frame : z * frame]
+        if self.width == 1:
+            x = np.frombuffer(data, np.uint8).astype(np.float64) / 128 - 1
+        elif self.width == 3:
+            b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
+        else:
+            x = np.frombuffer(data, f"<i{self.width}") / 2.0 ** (8 * self.width - 1)
+        return x.reshape(-1, self.channels).mean(1)
+
+
 def read_wav(raw: bytes) -> tuple[np.ndarray, int, int]:
-    """Samples between -1 and 1, averaged over channels, with rate and channels."""
-    with wave.open(io.BytesIO(raw)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        data = w.readframes(w.getnframes())
-    data = data[: len(data) // (width * channels) * (width * channels)]
-    if width == 1:
-        x = np.frombuffer(data, np.uint8).astype(np.float64) / 128 - 1
-    elif width == 3:
-        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
-    else:
-        x = np.frombuffer(data, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return x.reshape(-1, channels).mean(1), rate, channels
+    """All samples, with rate and channels."""
+    own = Recording(raw)
+    return own[:], own.rate, own.channels
 
 
 def spectrogram(x: np.ndarray) -> np.ndarray:
@@ -69,7 +85,7 @@ def _widest(a: np.ndarray, near: int, axis: int) -> np.ndarray:
     return np.moveaxis(out, 0, axis)
 
 
-def peaks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def peaks(x: np.ndarray | Recording) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of the peaks, by frame and bin."""
     total = max(0, (len(x) - FRAME) // HOP + 1)
     times, bins = [], []
@@ -100,15 +116,15 @@ def fingerprint(raw: bytes | None) -> tuple:
     if raw is None:
         return None, None, None, None, None, None, "null"
     try:
-        x, rate, channels = read_wav(raw)
+        x = Recording(raw)
     except (wave.Error, EOFError, ValueError, TypeError, ZeroDivisionError):
         return None, None, None, None, None, None, "unreadable"
     t, f = peaks(x)
     at, code = pairs(t, f)
-    return rate, channels, len(x), len(t), at * HOP * 1000 // max(1, rate), code, None
+    return x.rate, x.channels, len(x), len(t), at * HOP * 1000 // max(1, x.rate), code, None
 
 
-_FIELDS = (("sample_rate", pa.int32()), ("channels", pa.int32()), ("samples", pa.int64()), ("peaks", pa.int32()), ("time_ms", pa.list_(pa.int64())), ("code", pa.list_(pa.int64())), ("error", pa.string()))
+_FIELDS = (("sample_rate", pa.int64()), ("channels", pa.int32()), ("samples", pa.int64()), ("peaks", pa.int32()), ("time_ms", pa.list_(pa.int64())), ("code", pa.list_(pa.int64())), ("error", pa.string()))
 
 
 def fingerprints(rows: DataFrame, id_column: str = "vec_id", wav_column: str = "wav") -> DataFrame:
@@ -123,7 +139,7 @@ def fingerprints(rows: DataFrame, id_column: str = "vec_id", wav_column: str = "
                 yield pa.RecordBatch.from_arrays([c.column("id"), *(pa.array(v, t) for v, (_, t) in zip(got, _FIELDS, strict=True))], [id_column, *(n for n, _ in _FIELDS)])
 
     own = only(rows, id_column, wav_column).toDF("id", "wav").select(F.col("id").cast("long"), "wav")
-    return own.mapInArrow(run, f"`{id_column}` long, sample_rate int, channels int, samples long, peaks int, time_ms array<long>, code array<long>, error string")
+    return own.mapInArrow(run, f"`{id_column}` long, sample_rate long, channels int, samples long, peaks int, time_ms array<long>, code array<long>, error string")
 
 
 def write_wav(x: np.ndarray, rate: int = 8000) -> bytes:

@@ -1,16 +1,17 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Every document has a 60-bit hash of its id. A source's budget is its share of the weights times a fraction of all
-tokens; a document is taken when the tokens of its source's documents up to and including its hash fit the
+tokens, or of as many as the scarcest source allows: where a source has less than its share, all budgets shrink alike, so the shares
+are met at every fraction, to within a document a source. A document is taken when the tokens of its source's documents up to and including its hash fit the
 budget. The threshold is found without sorting: tokens are summed by source and the top 12 bits of the hash, the
 bucket in which the running sum crosses the budget is located, and only its documents are summed again by the
 next 12 bits, five levels in all. Several fractions give nested thresholds, so a smaller mix is part of a larger.
 
 Tokens are words: runs of characters other than space, tab, newline and return. Their total decides the budgets, so
-counts and thresholds cover all documents. A source with less than its budget gives all it has.
+counts and thresholds cover all documents. Weights are 1 but for the sources that are named.
 
 Defined cases: a null source is a source of its own, with the default weight; a null or empty text counts 0
-tokens; rows that share an id share a hash and are taken or left together; rows with a null ``doc_id`` hash like
+tokens, and a source without tokens has no share and gives all its documents; rows that share an id share a hash and are taken or left together; rows with a null ``doc_id`` hash like
 the id "" ; weights of sources that aren't there are ignored; an empty table gives none; other columns pass
 through ``keep_mix`` and aren't read by ``mix``.
 """
@@ -24,7 +25,7 @@ from .shared import only, written
 
 BITS, LEVELS = 12, 5
 FRACTIONS = (0.25, 0.5, 0.8)
-WEIGHTS = {"src0": 2.0}
+WEIGHTS: dict[str, float] = {}
 
 
 def tokens(text: Column) -> Column:
@@ -71,11 +72,12 @@ def _cuts(rows: DataFrame, weights: dict[str, float], fractions: tuple[float, ..
     weight = F.lit(default)
     for name, w in weights.items():
         weight = F.when(_name(F.col("source")) == name, F.lit(float(w))).otherwise(weight)
-    totals = written(totals.withColumn("weight", weight.cast("double")), "totals")
-    all_ = totals.agg(F.sum("weight").alias("weights"), F.sum("have").alias("total"))
+    totals = written(totals.withColumn("weight", F.when(F.col("have") > 0, weight.cast("double")).otherwise(0.0)), "totals")
+    # sources of weight 0 are left out
+    all_ = totals.agg(F.sum("weight").alias("weights"), F.sum("have").alias("total")).crossJoin(totals.where("weight > 0").agg(F.min(F.col("have") / F.col("weight")).alias("scarcest")))
     tiers = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(sorted(fractions))]))
-    budgets = totals.crossJoin(F.broadcast(all_)).select("source", "have", tiers.alias("t"), "weight", "weights", "total")
-    budgets = budgets.select("source", "have", "t.tier", F.floor(F.col("weight") / F.col("weights") * F.col("t.fraction") * F.col("total")).cast("long").alias("budget"))
+    budgets = totals.crossJoin(F.broadcast(all_)).select("source", "have", tiers.alias("t"), "weight", "weights", "total", "scarcest")
+    budgets = budgets.select("source", "have", "t.tier", F.coalesce(F.floor(F.col("weight") * F.least(F.try_divide(F.col("t.fraction") * F.col("total"), F.col("weights")), F.col("scarcest"))), F.lit(0)).cast("long").alias("budget"))
     found = thresholds(rows, budgets.where("have > budget").select("source", "tier", "budget"))
     whole = budgets.where("have <= budget").select("source", "tier", F.lit(1 << 60).cast("long").alias("threshold"))
     return written(found.unionByName(whole).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("tier", "threshold"))).alias("cuts")), "cuts")
@@ -106,9 +108,9 @@ WITH m AS (
          coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS tokens
   FROM documents
 ), s AS (
-  SELECT source, sum(tokens) AS have, CASE WHEN source = 'src0' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM m GROUP BY source
+  SELECT source, sum(tokens) AS have, CASE WHEN sum(tokens) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM m GROUP BY source
 ), b AS (
-  SELECT source, tier, floor(weight / (SELECT sum(weight) FROM s) * fraction * (SELECT sum(have) FROM s)) AS budget
+  SELECT source, tier, coalesce(floor(weight * least(fraction * (SELECT sum(have) FROM s) / (SELECT sum(weight) FROM s), (SELECT min(have / weight) FROM s WHERE weight > 0))), 0) AS budget
   FROM s, (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) AS f(tier, fraction)
 ), r AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY h) AS upto FROM m

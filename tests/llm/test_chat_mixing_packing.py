@@ -100,12 +100,15 @@ def plain_mix(docs, weights, fractions):
 
     rows = [(s, int(hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest()[:15], 16), len((t or "").split()), i) for i, (d, s, t) in enumerate(docs)]
     total, sources = sum(r[2] for r in rows), {r[0] for r in rows}
-    whole = sum(weights.get(s, 1.0) for s in sources)
+    have = {s: sum(r[2] for r in rows if r[0] == s) for s in sources}
+    weights = {s: weights.get(s, 1.0) * (have[s] > 0) for s in sources}
+    whole = sum(weights.values())
+    scarcest = min((have[s] / weights[s] for s in sources if weights[s]), default=0)
     out = {}
     for s in sources:
         own = sorted(r for r in rows if r[0] == s) if s else sorted((r for r in rows if r[0] == s), key=lambda r: r[1:])
         for tier, f in reversed(list(enumerate(sorted(fractions)))):
-            budget = int(weights.get(s, 1.0) / whole * f * total)
+            budget = int(weights[s] * min(f * total / whole, scarcest)) if weights[s] else 0
             for r in own:
                 if sum(x[2] for x in own if x[1] <= r[1]) <= budget:
                     out[r[3]] = tier
@@ -124,17 +127,33 @@ def test_mix_against_sorting(spark):
     assert kept == Counter(docs[i] for i in only) and mixing.keep_mix(df).columns == df.columns
 
 
-def test_mix_is_nested_and_meets_targets(spark):
+@pytest.mark.parametrize("weights", [{}, {"src0": 3.0, "src1": 0.5}])
+def test_mix_is_nested_and_meets_targets(spark, weights):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = mixing.mix(docs, {"src0": 1.0}, (0.3, 0.6)).collect()
-    total = sum(len((r["text"] or "").split()) for r in docs.collect())
-    n = len({r["source"] for r in docs.select("source").collect()})
-    for tier, f in enumerate((0.3, 0.6)):
-        for s in {r["source"] for r in rows}:
-            assert sum(r["tokens"] for r in rows if r["source"] == s and r["tier"] <= tier) <= total * f / n + 1
+    size = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
+    sources = {r["source"] for r in docs.select("source").collect()}
+    of = {s: [r["doc_id"] for r in docs.where(docs.source == s).collect()] for s in sources}
+    share = {s: weights.get(s, 1.0) / sum(weights.get(x, 1.0) for x in sources) for s in sources}
+    rows = mixing.mix(docs, weights).collect()
+    most = min(sum(size[d] for d in of[s]) / share[s] for s in sources)
+    for tier, f in enumerate(mixing.FRACTIONS):
+        for s in sources:
+            got = sum(r["tokens"] for r in rows if r["source"] == s and r["tier"] <= tier)
+            target = share[s] * min(f * sum(size.values()), most)
+            # each source meets its share, short of one document
+            assert target - max(size[d] for d in of[s]) <= got <= target + 1e-6
+    kept = mixing.keep_mix(docs, weights).collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in rows}
     assert mixing.mix(docs.where("false")).collect() == [] and mixing.keep_mix(docs.where("false")).collect() == []
 
 
+def test_mix_of_sources_without_tokens(spark):
+    df = spark.createDataFrame([(1, "a", ""), (2, "a", None), (3, "b", "one two"), (4, "b", "three")], "doc_id long, source string, text string")
+    rows = {(r["doc_id"], r["tokens"]) for r in mixing.mix(df, fractions=(1.0,)).collect()}
+    assert rows == {(1, 0), (2, 0), (3, 2), (4, 1)}
+    assert {r["doc_id"] for r in mixing.keep_mix(df.where("source = 'a'")).collect()} == {1, 2}
+
+
 # packing
 
 

@@ -151,3 +151,17 @@ def test_media_edge_cases(spark):
     assert tones[2] is tones[3] is tones[4] is None and tones[1] and tones[None]
 
 
+
+
+def test_any_rate_and_length_of_a_recording(spark):
+    x = np.sin(np.arange(300_000) / 7) * np.hanning(300_000)
+    wav = bytearray(media.write_wav(x))
+    high = wav[:24] + (0xFFFFFFFF).to_bytes(4, "little") + wav[28:]
+    rows = {r["vec_id"]: r for r in media.fingerprints(spark.createDataFrame([(1, high), (2, wav), (3, wav[:1001])], "vec_id long, wav binary")).collect()}
+    assert rows[1]["sample_rate"] == 0xFFFFFFFF and rows[1]["code"] == rows[2]["code"] and rows[2]["samples"] == 300_000
+    assert rows[3]["error"] is None and rows[3]["samples"] == 478
+    t, f = media.peaks(x)
+    own = media.Recording(bytes(wav))
+    t2, f2 = media.peaks(own)
+    whole = media.peaks(own[:])
+    assert (t2 == whole[0]).all() and (f2 == whole[1]).all() and len(t) > 0

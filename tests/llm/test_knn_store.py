@@ -97,6 +97,46 @@ def test_cuts_follow_the_content():
     assert idstore.cuts(ids[:0]) == [] and idstore.cuts(ids[:5]) == [5] and idstore.cuts(np.zeros(3000, np.uint16))[-1] == 3000
 
 
+def naive_cuts(ids):
+    """Cuts by the definition: the window's hash at every place, one after the other."""
+    base, mask = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 33
+
+    out, start = [], 0
+    for at in range(1, len(ids) + 1):
+        if at == len(ids) or at - start == idstore.MOST:
+            out.append(at)
+            start = at
+        elif at - start >= idstore.LEAST:
+            h = sum(mix(int(x) + 1) * pow(base, j, 1 << 64) for j, x in enumerate(ids[at - idstore.WINDOW : at])) + idstore.WINDOW
+            if mix(h & mask) % idstore.AVERAGE == 0:
+                out.append(at)
+                start = at
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200, 3000])
+def test_cuts_against_a_naive_rolling_hash(n):
+    ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint16)
+    assert idstore.cuts(ids) == naive_cuts(ids)
+    assert idstore.cuts(np.zeros(n, np.uint16)) == naive_cuts(np.zeros(n, np.uint16))
+
+
+def test_long_white_space_has_the_ids_of_the_whole_text():
+    enc = idstore.encoding(idstore.RANKS)
+    for space in (" " * 5000, "\n" * 3000, " \t\u3000" * 1500, "\n" * 2000 + " "):
+        for text in (space, "a" + space, space + "b", "one" + space + "two " + space + "!", space + "\x1c" + space):
+            assert idstore.encoded(enc, text).tolist() == enc.encode_ordinary(text)
+    huge = "x" + " " * 2_000_000 + "y"
+    assert enc.decode(idstore.encoded(enc, huge).tolist()) == huge
+
+
 def test_merkle_root():
     h = lambda *x: hashlib.sha256(b"\1" + b"".join(x)).digest()
     a, b, c = (hashlib.sha256(x).digest() for x in (b"a", b"b", b"c"))
@@ -104,14 +144,16 @@ def test_merkle_root():
 
 
 def test_store_edge_cases_and_tampering(spark):
-    rows = [(None, "nobody"), (1, None), (2, ""), (3, "twice the same"), (3, "twice the same"), (3, "other"), (-5, "below zero"), (4, "long words " * 100_000)]
+    rows = [(None, "nobody"), (1, None), (2, ""), (3, "twice the same"), (3, "twice the same"), (3, "other"), (-5, "below zero"), (4, "long words " * 100_000 + " " * 1_200_000), *[(None, f"text {i % 7000}") for i in range(9000)]]
     stored = idstore.store(docs_of(spark, rows)).persist()
     recipes = defaultdict(list)
     for r in stored.where("kind = 'recipe'").collect():
         recipes[r["doc_id"]].append(r)
-    assert {d: len(v) for d, v in recipes.items()} == {None: 1, 1: 1, 2: 1, 3: 3, -5: 1, 4: 1}
+    assert {d: len(v) for d, v in recipes.items()} == {None: 9001, 1: 1, 2: 1, 3: 3, -5: 1, 4: 1}
     assert recipes[1][0]["key"] is None and recipes[1][0]["n"] is None and recipes[2][0]["n"] == 0 and recipes[2][0]["chunks"] == []
-    assert len(idstore.reconstructed(stored).collect()) == 7
+    assert len(idstore.reconstructed(stored).collect()) == 9007
+    nodes = {r["bucket"]: r["n"] for r in stored.where("kind = 'manifest' AND level = 1").collect()}
+    assert nodes == {None: 9001, 0: 5, -1: 1}
     assert {r["what"]: r["count"] for r in idstore.faults(stored).collect()} == {"chunk": 0, "recipe": 0, "manifest": 0}
     bad = stored.selectExpr("kind", "key", "doc_id", "n", "if(kind = 'chunk', concat(ids, X'00'), ids) ids", "if(doc_id = 3, reverse(array_append(chunks, X'00')), chunks) chunks", "level", "bucket")
     faults = {r["what"]: r["count"] for r in idstore.faults(bad).collect()}
