@@ -13,13 +13,15 @@ SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def brute(rows, k):
+def brute(rows, k, every=1):
     clean = {}
     for i, v, *_ in rows:
         if i is not None and v and all(x is not None and x == x for x in v):
             clean[(i, tuple(np.float32(v)))] = None
     out = Counter()
     for i, v in clean:
+        if i % every:
+            continue
         others = sorted((float(((np.array(v, float) - np.array(w, float)) ** 2).sum()), j) for j, w in clean if j != i and len(w) == len(v))
         for rank, (d, j) in enumerate(others[:k], 1):
             out[(i, rank, j, round(d**0.5, 6))] += 1
@@ -32,7 +34,7 @@ def test_nearest_against_all_distances(spark, shard):
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(250)]
     rows += [(1000 + i, [float(x) for x in rng.integers(0, 2, 3)], 0) for i in range(40)]  # many ties, another length
     rows += [rows[0], (1, rows[2][1], 0), (None, rows[0][1], 0), (5000, None, 0), (5001, [], 0), (5002, [1.0, None], 0), (5003, [float("nan")] * 8, 0), (5004, [1.0] * 5, 0)]
-    got = knn.nearest(spark.createDataFrame(rows, VECTORS), k=5, shard=shard).collect()
+    got = knn.nearest(spark.createDataFrame(rows, VECTORS), k=5, every=1, shard=shard).collect()
     assert Counter((r["id"], r["rank"], r["neighbour"], r["distance"]) for r in got) == brute(rows, 5)
 
 
@@ -45,7 +47,14 @@ def test_tree_prunes_and_is_exact():
     d[np.arange(200), np.arange(200)] = np.inf
     want = np.argsort(d, axis=1, kind="stable")[:, :7]
     assert (who == want).all() and best == pytest.approx(np.take_along_axis(d, want, 1))
-    assert (tree.lo <= tree.hi).all() and tree.bounds[-1] == 3000
+    leaves = tree.left < 0
+    assert (tree.lo <= tree.hi).all() and (tree.last - tree.first)[leaves].sum() == 3000 and (tree.last - tree.first)[leaves].max() <= knn.LEAF
+    for node in np.flatnonzero(~leaves):
+        a, b = tree.left[node], tree.right[node]
+        assert (tree.first[node], tree.last[a], tree.last[b]) == (tree.first[a], tree.first[b], tree.last[node])
+        assert (tree.lo[node] == np.minimum(tree.lo[a], tree.lo[b])).all() and (tree.hi[node] == np.maximum(tree.hi[a], tree.hi[b])).all()
+    # whole sub-trees are passed over
+    assert len(tree.leaves_within(points[:200], best[:, -1])[0]) < 0.5 * 200 * leaves.sum()
     # a bound that another shard gave leaves only what is nearer
     kth = best[:, 3]
     some, _ = tree.search(points[:200], np.arange(200), 7, kth)
@@ -56,7 +65,19 @@ def test_nearest_small_tables(spark):
     assert knn.nearest(spark.createDataFrame([], VECTORS)).collect() == []
     assert knn.nearest(spark.createDataFrame([(1, [1.0], 0)], VECTORS)).collect() == []
     two = knn.nearest(spark.createDataFrame([(1, [1.0], 0), (2, [4.0], 0)], VECTORS)).collect()
-    assert {(r["id"], r["neighbour"], r["distance"]) for r in two} == {(1, 2, 3.0), (2, 1, 3.0)}
+    assert {(r["id"], r["neighbour"], r["distance"]) for r in two} == set()
+    two = knn.nearest(spark.createDataFrame([(20, [1.0], 0), (40, [4.0], 0), (7, [5.0], 0)], VECTORS)).collect()
+    assert {(r["id"], r["rank"], r["neighbour"], r["distance"]) for r in two} == {(20, 1, 40, 3.0), (20, 2, 7, 4.0), (40, 1, 7, 1.0), (40, 2, 20, 3.0)}
+
+
+def test_copies_crowd_no_shard(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [0.5, 0.25], 0) for i in range(300)] + [(300 + i, [float(x) for x in rng.normal(size=2)], 0) for i in range(500)]
+    sizes = []
+    monkeypatch.setattr(knn, "_boxes", lambda p, f=knn._boxes: sizes.extend(r["count"] for r in p.groupBy("shard").count().collect()) or f(p))
+    got = knn.nearest(spark.createDataFrame(rows, VECTORS), k=5, shard=50).collect()
+    assert Counter((r["id"], r["rank"], r["neighbour"], r["distance"]) for r in got) == brute(rows, 5, 20)
+    assert sum(sizes) == 506 and max(sizes) < 110
 
 
 # store
