@@ -6,11 +6,11 @@ the root down, over all pages of a batch at once and depth by depth, gives every
 of elements whose marginal is at least ``threshold`` is the page's content, one line for each block.
 
 Potentials are counts with add-one smoothing over labelled pages: HTML whose content elements carry the attribute
-``data-content``. ``LABELLED`` holds a small set in several layouts; any other can be given.
+``data-content``. ``LABELLED`` holds a small set in several layouts, written for this; ``extract`` takes any other, from a table too.
 
 Defined cases: a null page gives null text and no elements; an empty page, or one without elements, gives "" ; text
 outside any element belongs to an implied root; scripts, styles and comments are never content; unclosed and
-stray tags are repaired by the usual rules; rows are handled one by one, so repeated pages or null ids change
+stray tags are repaired by the usual rules; a page takes time in proportion to its length, whatever its tags; rows are handled one by one, so repeated pages or null ids change
 nothing; other columns aren't read; an empty table gives none. Whole pages are read, whatever their size.
 """
 
@@ -18,16 +18,20 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import lean, only
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</([a-z][\w:-]*)[^>]*>|<([a-z][\w:-]*)([^>]*)>|<[!?][^>]*>|([^<]+)|(<)", re.S | re.I)
+NAME = re.compile(r"<(/?)([a-z][\w:-]*)", re.I)
+#: Elements whose text isn't the page's. An unclosed script or style runs to the end, the others are then read as usual.
+HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul".split())
 CLOSES_ITSELF = frozenset("li dt dd tr td th option p".split())
@@ -46,35 +50,84 @@ class Tree:
     pieces: list[tuple[int, str]]
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): ``open``, ``close`` and ``text``; one pass, in time that is linear in the page's length."""
+    at, size = 0, len(page)
+    unclosed: set[str] = set()
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        m = NAME.match(page, lt)
+        if m is None and page[lt + 1 : lt + 2] not in ("!", "?"):
+            yield "text", "<", ""
+            at = lt + 1
+            continue
+        gt = page.find(">", m.end() if m else lt + 2)
+        if gt < 0:  # no later tag ends either
+            yield "text", page[lt:], ""
+            return
+        at = gt + 1
+        if m is None:
+            continue
+        name, more = m[2].lower(), page[m.end() : gt]
+        if m[1]:
+            yield "close", name, ""
+            continue
+        if name in HIDDEN and name not in unclosed:
+            if more.endswith("/") and name == "svg":
+                continue
+            end = HIDDEN[name].search(page, at)
+            if end or name in ("script", "style"):
+                at = end.end() if end else size
+                continue
+            unclosed.add(name)
+        yield "open", name, more
+
+
 def parse(page: str) -> Tree:
     parent, tags, hints, pieces = [-1], [""], [""], []
     stack = [0]
-    for m in TOKEN.finditer(page):
-        text = m[5] or m[6]
-        if text:
-            if not text.isspace():
-                pieces.append((stack[-1], entities.unescape(text)))
-        elif m[3]:
-            tag = m[3].lower()
+    # for each open element, where on the stack a paragraph is that the next block would close, or 0; and how many are open by tag
+    closable, count = [0], Counter()
+
+    def pop_to(depth: int) -> None:
+        for i in stack[depth:]:
+            count[tags[i]] -= 1
+        del stack[depth:], closable[depth:]
+
+    for kind, tag, more in tokens(page):
+        if kind == "text":
+            if not tag.isspace():
+                pieces.append((stack[-1], entities.unescape(tag)))
+        elif kind == "open":
             if tag == "br":
                 pieces.append((stack[-1], ""))
             if tag in VOID:
                 continue
-            if tag in BLOCK and tags[stack[-1]] == "p" or tag in CLOSES_ITSELF and tags[stack[-1]] == tag:
-                stack.pop()
-            elif tag in BLOCK and "p" in (open_ := [tags[i] for i in stack]) and not BLOCK.intersection(open_[len(open_) - open_[::-1].index("p") :]):
-                del stack[len(open_) - 1 - open_[::-1].index("p") :]
-            if not m[4].endswith("/"):
+            if tag in CLOSES_ITSELF and tags[stack[-1]] == tag:
+                pop_to(len(stack) - 1)
+            elif tag in BLOCK and closable[-1]:
+                pop_to(closable[-1])
+            parent.append(stack[-1])
+            if not more.endswith("/"):
+                closable.append(len(stack) if tag == "p" else 0 if tag in BLOCK else closable[-1])
                 stack.append(len(tags))
-            parent.append(stack[-2] if not m[4].endswith("/") else stack[-1])
+                count[tag] += 1
             tags.append(tag)
-            hints.append(m[4])
-        elif m[2]:
-            tag = m[2].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            hints.append(more)
+        elif count[tag]:
+            depth = len(stack) - 1
+            while tags[stack[depth]] != tag:
+                depth -= 1
+            pop_to(depth)
     return Tree(parent, tags, hints, pieces)
 
 
@@ -114,13 +167,13 @@ class Model:
 
 
 LABELLED = (
-    '<html><head><title>A day out by the sea with old friends, told by one who was there - example.org</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Travel notes</a></li><li><a href=/c>About us</a></li></ul></nav><div class="ad">Buy two and get one free today.</div><article data-content><h1 data-content>A day out by the sea with old friends</h1><p data-content>We set off before sunrise and took the road along the river, which was still full after the rains of the week before, and reached the coast in time for breakfast.<p data-content>The harbour was quiet. A few boats had gone out early, and the rest lay on the sand with their nets spread over them to dry in the wind.</article><footer>&copy; example.org All rights are reserved. No part of these pages may be printed elsewhere unless the owner has said so in a letter.</footer></body></html>',
     '<html><head><title>How to bake bread in a pot at home, step by step and without a machine</title></head><body><header><a href=/>Kitchen</a> <a href=/login>Log in</a></header><div id="content" data-content><h2 data-content>How to bake bread</h2><p data-content>Mix the flour, water, yeast and salt until no dry flour is left, and leave the dough to rest for an hour under a damp cloth.</p><p data-content><b data-content>Fold the dough four times during the first rise, then shape it, let it rest again, and heat the oven as hot as it goes with a heavy pot inside.</b><br>Bake it covered for half an hour.</p><ul data-content><li data-content>Use strong flour, or the loaf stays flat.</li><li data-content>Weigh everything, the water too.</li></ul></div><aside class="related"><h3>See also</h3><a href=/1>Ten quick soups</a><a href=/2>Rye for beginners</a></aside><div class="footer">Contact <a href=/m>us</a></div></body></html>',
+    '<html><head><title>Walking the old salt road, part two</title></head><body class="single"><div id="wrapper"><header class="site-header"><a href=/>Salt and Stone</a><nav class="site-nav"><a href=/archive>Archive</a><a href=/maps>Maps</a><a href=/contact>Contact</a></nav></header><main data-content><article class="post" data-content><header data-content><h1 data-content>Walking the old salt road, part two</h1></header><div class="entry-content" data-content><p data-content>From the pass the road drops in wide bends to the first village, where the carts once changed horses and the drivers slept in the hay above the stables.</p><p data-content>We found the well that the old maps show. It is <em data-content>dry now</em>, and a fig tree grows out of it.<p data-content>Rain came in the afternoon.</div></article></main><aside class="widget-area"><h3>Recent posts</h3><ul><li><a href=/1>Packing light</a></li><li><a href=/2>Part one</a></li></ul></aside><footer class="site-footer"><p>Powered by patience. All photographs by the author unless a caption says otherwise.</p></footer></div></body></html>',
     '<html><head><title>Council agrees on the new bridge where the ferry used to land | The Daily Page</title></head><body><div class="menu"><a href=1>News</a><a href=2>Sport</a><a href=3>Weather</a></div><div class="story" data-content><h1 data-content>Council agrees on the new bridge</h1><div data-content>After two years of talks the council has agreed to build the bridge where the old ferry used to land, at a cost that is lower than first thought.</div><div data-content>Work starts in spring. Until then the ferry runs every hour, and the road on the east bank stays closed to heavy traffic.</div></div><div class="sidebar"><p>Subscribe to our letter and never miss a thing.</p><form><label>Mail</label><button>Send</button></form></div><div class="comments"><p>Great news!</p><p>About time.</p></div></body></html>',
-    '<html><head><title>On keeping a garden in a dry country and other matters that came up</title></head><body><nav><ul><li><a href=/x>One</a></li><li><a href=/y>Two</a></li></ul></nav><div class="ad">A short word from our sponsor.</div><article data-content><h1 data-content>On keeping a garden in a dry country and other matters that came up</h1><p data-content><b data-content>Water in the evening, when the ground has cooled, and give each bed a good soaking once a week rather than a little every day, so that roots go down.<br><p data-content>Stones keep the soil moist. They also store the heat of the day, which helps tomatoes and vines, and they look well in winter when nothing else is there.</p><p data-content>Short.</p></article><footer>&copy; example.net &middot; A line about the owner, who lives nearby. Another about the makers of this page, and when it was last changed.</footer></body></html>',
-    '<html><body><main data-content><section data-content><h2 data-content>Install</h2><p data-content>Download the archive for your system and unpack it where you keep your programs, then add that folder to the search path.</p><pre data-content>tar xf tool.tar && ./tool --help</pre></section><section data-content><h2 data-content>Use</h2><p data-content>Give the tool a folder. It reads every file in it and prints one line for each that has changed since the last time it ran.</p></section></main><footer><ul><li><a href=/t>Terms</a></li><li><a href=/p>Privacy</a></li></ul></footer></body></html>',
-    '<html><body><table><tr><td><a href=1>Index</a></td><td data-content><p data-content>The library opened in 1911 in two rooms above the bank, with eight hundred books that had been given by the people of the town.</p><blockquote data-content>It was cold, but there was nowhere else to read, wrote one of the first members in a letter.</blockquote></td></tr></table><small>Printed from the web.</small></body></html>',
-    '<html><head><title>Night trains return after many years and find their riders waiting</title></head><body><nav><ul><li><a href=/q>Alpha</a></li><li><a href=/r>Beta</a></li><li><a href=/s>Gamma</a></li><li><a href=/t>Delta</a></li></ul></nav><div class="ad">Now with more of everything, for all who come by before the end of the week, or later if stocks last.</div><article data-content><h1 data-content>Night trains return after many years and find their riders waiting</h1><p data-content><b data-content>The first of them left on time.<br></article><footer>&copy; example.com &middot; Some words in the footer that follow the sign.</footer></body></html>',
+    '<html><head><title>How to choose a kettle | Home and Hearth</title></head><body><div class="topbar"><span>Free delivery this week on all orders</span><a href=/sale>Shop now</a></div><ul class="breadcrumbs"><li><a href=/>Home</a></li><li><a href=/g>Guides</a></li></ul><section class="article-body" data-content><h1 data-content>How to choose a kettle</h1><p data-content><strong data-content>Weigh it when it is full.</strong> A litre of water weighs a kilogram, and a heavy kettle is soon left standing at the back of the cupboard.<br>Look at the spout next.</p><p data-content>A short spout pours fast, a long one pours where you want it to.</p></section><div class="banner">Sign up today and save on your first order.</div><nav class="pager"><a href=/p>Previous</a><a href=/n>Next</a></nav><footer>Prices include tax. Pictures may differ from the goods that are sent.</footer></body></html>',
+    '<html><head><title>Install and use the tool - Handbook</title></head><body><main data-content><section data-content><h2 data-content>Install</h2><p data-content>Download the archive for your system and unpack it where you keep your programs, then add that folder to the search path.</p><pre data-content>tar xf tool.tar && ./tool --help</pre></section><section data-content><h2 data-content>Use</h2><p data-content>Give the tool a folder. It reads every file in it and prints one line for each that has changed since the last time it ran.</p></section></main><footer><ul><li><a href=/t>Terms</a></li><li><a href=/p>Privacy</a></li></ul></footer></body></html>',
+    '<html><head><title>A short history of the town library</title></head><body><table><tr><td><a href=1>Index</a></td><td data-content><p data-content>The library opened in 1911 in two rooms above the bank, with eight hundred books that had been given by the people of the town.</p><blockquote data-content>It was cold, but there was nowhere else to read, wrote one of the first members in a letter.</blockquote></td></tr></table><small>Printed from the web.</small></body></html>',
+    '<html><head><title>Minutes of the spring meeting</title></head><body><nav id="toc"><ol><li><a href="#a">Opening</a></li><li><a href="#b">Accounts</a></li></ol></nav><article data-content><h1 data-content>Minutes of the spring meeting</h1><h2 data-content>Opening</h2><p data-content>The chair opened the meeting at seven and thanked the members who had come in spite of the snow.</p><h2 data-content>Accounts</h2><p data-content>The treasurer read the accounts for the year, which were approved without a vote against.</p><table data-content><tr data-content><td data-content>Income</td><td data-content>two thousand and ten</td></tr></table></article><footer><a href=/imprint>Imprint</a> <a href=/top>Back to top</a> The society is a registered charity.</footer></body></html>',
 )
 
 
@@ -144,7 +197,8 @@ def marginals(parent: np.ndarray, depth: np.ndarray, unary: np.ndarray, model: M
     """P(content) of every node of a forest; a root has parent -1, ``unary`` are log potentials by label."""
     up = unary.copy()
     sent = np.zeros_like(unary)
-    layers = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    order = np.argsort(depth, kind="stable")
+    layers = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
     for rows in reversed(layers[1:]):
         sent[rows] = np.logaddexp(up[rows, :1] + model.edge[:, 0], up[rows, 1:] + model.edge[:, 1])
         np.add.at(up, parent[rows], sent[rows])
@@ -212,8 +266,15 @@ def extract_pages(pages: list[str | None], model: Model, threshold: float) -> li
     return out
 
 
-def extract(pages: DataFrame, threshold: float = 0.5, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
-    """(page_id, url, text, elements, content_elements, confidence) of every page."""
+def extract(pages: DataFrame, threshold: float = 0.5, labelled: tuple[str, ...] | DataFrame = LABELLED, most_labelled: int = 5000) -> DataFrame:
+    """(page_id, url, text, elements, content_elements, confidence) of every page.
+
+    ``labelled`` are pages with ``data-content``, or a table with such in its column ``html``, of which the ``most_labelled`` with the
+    smallest hashes are read: the model's few hundred counts need no more.
+    """
+    if isinstance(labelled, DataFrame):
+        own = only(labelled, "html").where("html IS NOT NULL")
+        labelled = tuple(r["html"] for r in own.orderBy(F.xxhash64("html"), "html").limit(most_labelled).toLocalIterator())
     model = fit(labelled)
 
     @lean
