@@ -8,7 +8,8 @@ one key for each slot left out, so every pair within the radius meets under at l
 
 Under a key, signatures are compared by breadth-first search from each member in turn: any member within the
 radius of a reached one is reached, so the groups are exactly the connected components of the "within radius"
-graph, without listing the quadratically many pairs of a large group. ``near_pairs`` lists them all.
+graph, without listing the quadratically many pairs of a large group. A key with more than ``TOGETHER`` of them is
+cut into blocks, of which every two are compared in a place of their own. ``near_pairs`` lists all pairs.
 
 Defined cases: rows with a null ``doc_id`` are left out, and the pipeline keeps them; null texts and texts
 without words have no signature and are nobody's duplicates; rows that share a ``doc_id`` are one document, near
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, only, sieved, written
+from .shared import dropped, lean, only, sieved, written
 from .textkit import FOLDED, U64, mix64, slices, split_words
 
 
@@ -142,8 +143,8 @@ def _bounds(t: pa.Table, key: str) -> tuple[pa.Table, np.ndarray]:
     return t, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
 
 
-def met(reps: DataFrame, plan: Plan) -> DataFrame:
-    """(key, rep) of the keys under which several signatures meet; of keys with the same members one stays."""
+def _keyed(reps: DataFrame, plan: Plan) -> DataFrame:
+    """(key, rep): all keys of every signature."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,22 +152,29 @@ def met(reps: DataFrame, plan: Plan) -> DataFrame:
             keys = keys_of(_matrix(b.column("sig"), plan.slots), plan.chunks).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(b.column("rep")), plan.slots))], ["key", "rep"])
 
-    by_key, by_set = Window.partitionBy("key"), Window.partitionBy("n", "members", "least")
-    return (
-        only(reps, "rep", "sig")
-        .mapInArrow(run, "key long, rep long")
-        .withColumns({"n": F.count("*").over(by_key), "members": F.bit_xor(F.xxhash64("rep")).over(by_key), "least": F.min("rep").over(by_key)})
-        .where("n > 1")
-        .withColumn("first_key", F.min("key").over(by_set))
-        .where("key = first_key")
-        .select("key", "rep")
-    )
+    return only(reps, "rep", "sig").mapInArrow(run, "key long, rep long")
+
+
+def met(reps: DataFrame, plan: Plan) -> DataFrame:
+    """(key, rep, n) of the keys under which ``n`` > 1 signatures meet; of keys with the same members one stays.
+
+    Counted with partial aggregates, so a key that many share isn't one task's; only signatures with such a key are then looked up.
+    """
+    members = {"n": F.count("*"), "members": F.bit_xor(F.xxhash64("rep")), "least": F.min("rep")}
+    by_key = _keyed(reps, plan).groupBy("key").agg(*[c.alias(k) for k, c in members.items()]).where("n > 1")
+    chosen = written(by_key.groupBy("n", "members", "least").agg(F.min("key").alias("chosen")).select("chosen", "n"), "keys")
+    maybe, _ = sieved(_keyed(reps, plan), F.col("key"), chosen.select("chosen"))
+    return maybe.join(chosen, maybe.key == chosen.chosen).select("key", "rep", "n")
+
+
+#: Signatures under one key that are compared in one place; more are cut into blocks, and each pair of blocks is one.
+TOGETHER = 4096
 
 
-def _compared(reps: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
+def _compared(reps: DataFrame, plan: Plan, all_pairs: bool, together: int = TOGETHER) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in runs(batches, "key"):
+        for t, bounds in runs(batches, "place"):
             ids, sig = np.asarray(t["rep"]), _matrix(t["sig"], plan.slots)
             groups = [np.arange(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             if all_pairs:
@@ -175,8 +183,11 @@ def _compared(reps: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
             a, b = search(groups, ids, sig, plan.radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    rows = met(reps, plan).join(reps, "rep").repartition("key").sortWithinPartitions("key")
-    return rows.select("key", "rep", "sig").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    rows = met(reps, plan).withColumn("blocks", F.ceil(F.col("n") / together)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    place = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.select(place.alias("place"), "rep").join(reps, "rep").repartition("place").sortWithinPartitions("place")
+    return rows.select("place", "rep", "sig").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         stars = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(stars, "stars")
+        before, edges = edges, written(stars, "stars")
+        dropped(before)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == print_of:
             return edges.select("a", F.col("b").alias("root"))

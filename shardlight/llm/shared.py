@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Only on one machine, as in tests, may it be unset; then it is a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shardlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,11 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that ``written`` gave, once nothing reads it any more."""
+    files = set(table.inputFiles())
+    for spark, path in list(_made):
+        if any(f"/{path.rpartition('/')[2]}/" in f for f in files):
+            _delete(spark, path)
+            _made.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended; the folder belongs to it
             return
 
@@ -74,7 +90,10 @@ BATCH_ROWS = 2000
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, by exact name; whatever else the table has, clashing names included, stays out."""
+    """Just these columns, by exact name; whatever else the table has, clashing names included, stays out.
+
+    The session's Arrow batches get ``BATCH_ROWS`` at most, for good: the setting counts when the lazy result runs, after the call.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

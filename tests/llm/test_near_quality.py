@@ -91,6 +91,18 @@ def test_large_group_of_copies(spark):
     assert len(rows) == 1500 and {r["group_id"] for r in rows} == {0}
 
 
+@pytest.mark.parametrize("together", [1, 3, 10])
+def test_blocks_of_a_crowded_key_join_the_same_groups(spark, together):
+    plan = minhash.Plan(16, 3, 4)
+    docs = [(i, " ".join(f"c{k}" for k in range(60)) + f" v{i % 50}") for i in range(60)] + [(100 + i, f"other words {i}") for i in range(20)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    s = minhash.prepared(df, plan)
+    reps = {r["rep"]: r["sig"] for r in s.reps.collect()}
+    edges = {(r["a"], r["b"]) for r in minhash._compared(s.reps, plan, False, together).collect()}
+    near = {(a, b) for a in reps for b in reps if b < a and (np.frombuffer(reps[a], np.uint16) != np.frombuffer(reps[b], np.uint16)).sum() <= plan.radius}
+    assert edges <= near and components(reps, edges) == components(reps, near) and len(near) > 30
+
+
 def test_words_are_folded():
     raw = "Ab, äb\tC-d  ".encode()
     w = split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), FOLDED)
@@ -132,6 +144,35 @@ def test_ftrl_learns_and_is_sparse():
     assert ((p > 0.5) == np.array(good[300:], bool)).mean() > 0.97 and len(model.slots) < 5000
 
 
+def test_ftrl_update_against_the_textbook():
+    """One weight at a time, by the published update: z and n by coordinate, weights from them in closed form."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c d e f g Big 7 !".split()) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    good = [rng.random() < 0.5 for _ in texts]
+    alpha, beta, l1, l2, epochs = 0.5, 1.0, 0.3, 1.0, 3
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, plain=False):
+        if plain:
+            return -z[i] / ((beta + n[i] ** 0.5) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    rows = [(s.tolist(), v.tolist(), y) for (s, v), y in zip(quality.examples(pa.array(texts), 10, 30.0), good, strict=True) if len(s)]
+    for _ in range(epochs):
+        for slots, values, y in rows:
+            w = {i: weight(i) for i in slots} | {"bias": weight("bias", True)}
+            p = 1 / (1 + np.exp(-(sum(w[i] * x for i, x in zip(slots, values, strict=True)) + w["bias"])))
+            for i, x in [*zip(slots, values, strict=True), ("bias", 1.0)]:
+                g = (p - y) * x
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    model = quality.fit(pa.array(texts), np.array(good), bits=10)
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert model.slots.tolist() == sorted(want) and model.weights == pytest.approx([want[i] for i in sorted(want)])
+    assert model.intercept == pytest.approx(weight("bias", True))
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "good text here", 0.1), (1, "good text here", 0.2), (None, "good text", 0.3), (2, None, 0.4), (3, "", 0.5), (4, "bad " * 400_000, 0.6)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (2, 1, 0), (None, 0, 0), (77, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
