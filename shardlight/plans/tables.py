@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only on one machine, as in tests, may it be unset: then a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="carve-")
+        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir``; where that is unset, as in tests, in a temporary folder."""
+    """``df`` as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="carve-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base}/carve-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/carve-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
