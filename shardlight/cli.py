@@ -10,11 +10,11 @@ from pyspark.sql import SparkSession
 
 from .functions.catalogue import FORMATS
 from .options import CarveOptions
-from .plans.carver import Carver, members, write_files
+from .plans.carver import Carver, write_files, write_members
 from .plans.tables import kept
 from .sources.configs import custom_formats
 from .sources.image import size_of
-from .sources.output import dashboard, logger, merge_reports, numbered_folder, write_worker_reports
+from .sources.output import dashboard, logger, merge_reports, numbered_folder, write_worker_logs, write_worker_reports
 
 
 def parser() -> argparse.ArgumentParser:
@@ -59,25 +59,27 @@ def main(argv: list[str] | None = None) -> int:
         log.info("%d custom formats", len(custom))
     if a.profile:
         spark.conf.set("spark.sql.pyspark.udf.profiler", "perf")
-    code, error = 0, None
+    log.info("image of %d bytes in clusters of %d, %d workers", size_of(a.image), opt.cluster_size, opt.workers)
+    log.info("formats: %s", ", ".join(f.name for f in opt.active()))
+    code, error, files = 0, None, None
     try:
         files = kept(Carver(spark, opt).files(a.image))
         written = write_files(files, str(folder)).count()
-        for m in members(files).where("content IS NOT NULL").toLocalIterator():
-            base = folder / f"{m['filename']}_extracted"
-            target = (base / m["member"]).resolve()
-            if target.is_relative_to(base.resolve()):  # a member can't leave its folder
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(bytes(m["content"]))
-        write_worker_reports(files, folder, opt.workers)
-        log.info("%d files", written)
+        extracted = kept(write_members(files, str(folder)))
+        for m in extracted.where("error IS NOT NULL").toLocalIterator():
+            log.warning("%s: member %s isn't extracted: %s", m["filename"], m["member"], m["error"])
+        log.info("%d files, %d members of archives", written, extracted.where("error IS NULL").count())
     except KeyboardInterrupt:
         code, error = 130, "interrupted"
     except Exception as e:  # noqa: BLE001 - the report says what went wrong, and the code is 1
         code, error = 1, f"{type(e).__name__}: {e}"[:2000]
     if error:
         log.error("%s", error)
-    target = merge_reports(spark, folder, error)
+    # with what was found until then, also after a failure
+    write_worker_reports(files, folder, opt.workers, error)
+    if files is not None:
+        write_worker_logs(files, folder, opt.workers)
+    target = merge_reports(spark, folder)
     if a.profile:
         spark.profile.dump(str(folder / "profile"))
     if a.dashboard:

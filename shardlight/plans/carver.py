@@ -211,3 +211,32 @@ def members(files: DataFrame, most_bytes: int = 64 << 20, most_ratio: int = 200)
 
     chosen = files.where("format = 'zip' AND status = 'complete'").select("image", "filename", "pieces")
     return chosen.mapInArrow(run, "image string, filename string, member string, content binary, error string")
+
+
+def write_members(files: DataFrame, folder: str, most_bytes: int = 64 << 20, most_ratio: int = 200) -> DataFrame:
+    """Writes the members of plain archives below ``folder`` when an action runs: (filename, member, size, error).
+
+    A member that is too large, unreadable, or would leave its archive's folder isn't written, and says so in ``error``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = located(folder)
+        for b in batches:
+            for row in b.to_pylist():
+                member, content, error = row["member"], row["content"], row["error"]
+                parts = [p for p in (member or "").replace("\\", "/").split("/") if p not in ("", ".")]
+                if content is not None and (not parts or ".." in parts):
+                    error = "outside"
+                elif content is not None:
+                    target = "/".join([base, f"{row['filename']}_extracted", *parts])
+                    where.create_dir(target.rpartition("/")[0], recursive=True)
+                    draft = f"{target}.{uuid.uuid4().hex}"
+                    with where.open_output_stream(draft) as out:
+                        out.write(content)
+                    where.move(draft, target)
+                size = len(content) if content is not None and error is None else None
+                yield pa.RecordBatch.from_pylist([{"filename": row["filename"], "member": member, "size": size, "error": error}], schema)
+
+    schema = pa.schema([("filename", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("error", pa.string())])
+    rows = members(files, most_bytes, most_ratio).select("filename", "member", "content", "error")
+    return rows.mapInArrow(run, "filename string, member string, size long, error string")

@@ -6,9 +6,16 @@ import atexit
 import re
 import shutil
 import tempfile
+from collections.abc import Iterator
+from pathlib import Path
 from uuid import uuid4
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.image import located
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +36,30 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/carve-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def image_of(parts: DataFrame, size: int, name: str = "image") -> str:
+    """The path of an image file of ``size`` bytes in the shared folder, with ``parts`` (start_offset, bytes) in it and zeros elsewhere.
+
+    Tasks write their parts in place, so a task that runs again writes the same. The folder has to be a mounted one.
+    """
+    where, path = located(f"{shared_folder(parts.sparkSession)}/{name}-{uuid4().hex}.dd")
+    if not isinstance(where, fs.LocalFileSystem):
+        raise ValueError("an image is written in place, which needs a mounted folder")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "wb") as f:
+        f.truncate(size)
+    atexit.register(Path(path).unlink, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                for at, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    f.seek(at)
+                    f.write(raw.as_py())
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    parts.select(F.col("start_offset").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return path

@@ -9,9 +9,12 @@ import struct
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
+from pathlib import Path
+from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ from .functions import binary
 from .functions.catalogue import FORMATS
 from .operators import carve, report, scan, structure, virtual
 from .options import CarveOptions
+from .plans.carver import Carver, contents, members
+from .plans.tables import image_of, kept, shared_folder
+from .sources.configs import reports
+from .sources.image import located, register, splits
+from .sources.output import merge_reports, write_worker_reports
 
 STRUCTURAL = ("html", "body", "head", "nav", "ul", "li", "article", "div")
 _IN = ", ".join(f"'{t}'" for t in STRUCTURAL)
@@ -40,11 +48,8 @@ _SCAN = f"WITH {_PADDED} SELECT page_id, cluster_id, cluster_id * 4096 AS start_
 
 def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.ceil(F.octet_length("html") / virtual.CLUSTER) * virtual.CLUSTER).cast("long")
-    total = _table(spark, sf_dir, "pages").agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"))
-    step = F.greatest(F.lit(virtual.CLUSTER), F.floor(F.floor(F.col("total") / WORKERS) / virtual.CLUSTER) * virtual.CLUSTER).cast("long")
-    w = total.withColumn("step", step).withColumn("worker_id", F.explode(F.sequence(F.lit(0), F.lit(WORKERS - 1)))).where(F.col("worker_id") * F.col("step") < F.col("total"))
-    start = F.col("worker_id") * F.col("step")
-    return w.select("worker_id", start.alias("start_offset"), F.when(F.col("worker_id") == WORKERS - 1, F.col("total")).otherwise(F.least(start + F.col("step"), F.col("total"))).alias("end_offset"))
+    total = _table(spark, sf_dir, "pages").agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return spark.createDataFrame([(w, a, z) for w, (a, z) in enumerate(splits(total, WORKERS, virtual.CLUSTER))], "worker_id int, start_offset long, end_offset long")
 
 
 _SPLIT = f"WITH t AS (SELECT CAST(sum(ceil(octet_length(encode(html)) / 4096.0)) * 4096 AS BIGINT) AS total FROM pages), s AS (SELECT total, greatest(4096, total // {WORKERS} // 4096 * 4096) AS step FROM t) SELECT CAST(w AS INTEGER) AS worker_id, w * step AS start_offset, CASE WHEN w = {WORKERS - 1} THEN total ELSE least((w + 1) * step, total) END AS end_offset FROM s, generate_series(0, {WORKERS - 1}) g(w) WHERE w * step < total"
@@ -155,21 +160,120 @@ def gap_jump_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JUMP = f"WITH {_PADDED} SELECT a.cluster_id AS id, coalesce((SELECT min(b.cluster_id) FROM c b WHERE b.cluster_id > a.cluster_id AND b.cluster_id <= a.cluster_id + {LOOKAHEAD} AND b.n_bytes >= 0.8 * 4096), -1) AS match FROM c a"
 
 
+def _pages_image(spark: SparkSession, sf_dir: str) -> str:
+    """All pages as one image, each padded to whole clusters."""
+    c = kept(virtual.clusters(_table(spark, sf_dir, "pages"), "page_id", "html").select("start_offset", "bytes"))
+    size = c.agg(F.coalesce(F.max("start_offset") + virtual.CLUSTER, F.lit(0).cast("long"))).first()[0]
+    return image_of(c, size, "pages")
+
+
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of an image through the source, from the 11th on by a filter that the source takes."""
+    register(spark)
+    df = spark.read.format("raw_image").option("splits", WORKERS).load(_pages_image(spark, sf_dir))
+    return df.where(F.col("start_offset") >= 10 * virtual.CLUSTER).select("cluster_id", "start_offset", "end_offset", F.md5("bytes").alias("digest"))
+
+
+_WHOLE = "w AS (SELECT cluster_id, array_slice(encode(html), i * 4096 + 1, i * 4096 + 4096) || from_hex(repeat('00', CAST(4096 - n_bytes AS BIGINT))) AS b FROM c)"
+_IMAGE = f"WITH {_PADDED}, {_WHOLE} SELECT cluster_id, cluster_id * 4096 AS start_offset, (cluster_id + 1) * 4096 AS end_offset, md5(b) AS digest FROM w WHERE cluster_id >= 10"
+
+
 def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = virtual.clusters(_table(spark, sf_dir, "pages"), "page_id", "html")
-    w = F.lag("bytes").over(virtual.Window.partitionBy("page_id").orderBy("cluster_id"))
-    return c.select("page_id", "cluster_id", F.hex(F.substring(w, -15, 15)).alias("tail"))
+    """The bytes before each cluster of an image, which the source gives along with it."""
+    register(spark)
+    df = spark.read.format("raw_image").option("halo", 15).option("splits", WORKERS).load(_pages_image(spark, sf_dir))
+    return df.select("cluster_id", F.hex("halo").alias("tail"))
 
 
-_TAIL = f"WITH {_PADDED} SELECT page_id, cluster_id, CASE WHEN i > 0 THEN hex(array_slice(encode(html), i * 4096 - 14, i * 4096)) END AS tail FROM c"
+_TAIL = f"WITH {_PADDED}, {_WHOLE} SELECT cluster_id, coalesce(hex(array_slice(lag(b) OVER (ORDER BY cluster_id), 4082, 4096)), '') AS tail FROM w"
 
 
 def linear_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").withColumn("a", F.instr("html", "<nav")).where("a > 0").withColumn("z", F.expr("locate('</nav>', html, a)"))
-    return p.select("page_id", (F.col("a") - 1).alias("start"), F.when(F.col("z") > 0, F.col("z") + 6 - F.col("a")).alias("size"), F.when(F.col("z") > 0, "complete").otherwise("incomplete_eof").alias("status"))
+    """A format of one's own, given by its first and last bytes, carved out of the image of all pages, in ranges of 1 MiB."""
+    opt = CarveOptions(formats=(), custom=(("nav", b"<nav>", b"</nav>"),))
+    files = Carver(spark, opt, 1 << 20).files(_pages_image(spark, sf_dir))
+    return files.select("file_id", "filename", "status", report.first_start(F.col("fragments")).alias("start_offset"), "total_size")
+
+
+def _places_sql(what: str) -> str:
+    return f"SELECT base * 4096 + CAST(coalesce(list_sum(list_transform(parts[1:j], lambda x: octet_length(encode(x)))), 0) AS BIGINT) + (j - 1) * {len(what)} AS pos FROM (SELECT base, parts, unnest(generate_series(1, len(parts) - 1)) AS j FROM (SELECT base, string_split(html, '{what}') AS parts FROM o))"
+
+
+_LINEAR = (
+    f"WITH {_PADDED}, h AS ({_places_sql('<nav>')}), f AS ({_places_sql('</nav>')}), "
+    "m AS (SELECT h.pos, f.pos + 6 AS z FROM h ASOF LEFT JOIN f ON h.pos + 5 <= f.pos), g AS (SELECT min(pos) AS start_offset, z FROM m GROUP BY z), n AS (SELECT *, row_number() OVER (ORDER BY start_offset) - 1 AS r FROM g) "
+    "SELECT CAST(r AS INTEGER) AS file_id, 'carved_w0_' || r || CASE WHEN z IS NULL THEN '_partial' ELSE '' END || '.nav' AS filename, CASE WHEN z IS NULL THEN 'incomplete_eof' ELSE 'complete' END AS status, start_offset, coalesce(z, (SELECT CAST(sum(k) AS BIGINT) * 4096 FROM p)) - start_offset AS total_size FROM n"
+)
+
+SMALL = 512
+
+
+def _broken_image(spark: SparkSession, sf_dir: str) -> str:
+    """A JSON file for each document, about as long as its text is; a cluster of noise stands between each file's first cluster and the rest."""
+    body = F.expr("concat('{\"doc\":', doc_id, ',\"key\":[\"', repeat(concat(md5(cast(doc_id AS string)), '\",\"'), cast(1 + coalesce(n_chars, 0) div 50 AS int)), 'end\"]}')")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("body"))
+    rows = rows.withColumn("k", F.ceil(F.octet_length("body") / SMALL)).withColumn("space", ((F.col("k") + 1) * SMALL).cast("long"))
+    placed = kept(virtual.offsets(rows, "doc_id", "space"))
+    size = placed.agg(F.coalesce(F.max(F.col("start_offset") + F.col("space")), F.lit(0).cast("long"))).first()[0]
+    first = placed.select("start_offset", F.substring("body", 1, SMALL).alias("bytes"))
+    noise = placed.select((F.col("start_offset") + SMALL).alias("start_offset"), F.unhex(F.lit("01" * SMALL)).alias("bytes"))
+    rest = placed.where("k > 1").select((F.col("start_offset") + 2 * SMALL).alias("start_offset"), F.expr(f"substring(body, {SMALL + 1})").alias("bytes"))
+    return image_of(first.unionByName(noise).unionByName(rest), size, "broken")
+
+
+def _broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(Carver(spark, CarveOptions(SMALL, 4, ("json",)), 1 << 20).files(_broken_image(spark, sf_dir)))
+
+
+def carve_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that foreign clusters break: put together by the state that was saved before the gap, numbered by worker, and read back.
+
+    The cluster that broke a file counts in its fragments and size, but isn't in what is read back.
+    """
+    files = _broken_files(spark, sf_dir)
+    parts = contents(files).groupBy("worker_id", "file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "content"))).alias("parts"))
+    whole = F.md5(F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["content"]))).alias("digest")
+    own = files.select("worker_id", "file_id", "filename", "status", report.first_start(F.col("fragments")).alias("start_offset"), F.size("fragments").alias("n_fragments"), "total_size")
+    return own.join(parts.select("worker_id", "file_id", whole), ["worker_id", "file_id"])
 
 
-_LINEAR = "WITH a AS (SELECT page_id, html, instr(html, '<nav') AS a FROM pages), z AS (SELECT page_id, a, instr(substr(html, a), '</nav>') AS z FROM a WHERE a > 0) SELECT page_id, CAST(a - 1 AS INTEGER) AS start, CAST(CASE WHEN z > 0 THEN z + 5 END AS INTEGER) AS size, CASE WHEN z > 0 THEN 'complete' ELSE 'incomplete_eof' END AS status FROM z"
+_BROKEN = (
+    f"d AS (SELECT doc_id, '{{\"doc\":' || doc_id || ',\"key\":[\"' || repeat(md5(CAST(doc_id AS VARCHAR)) || '\",\"', 1 + coalesce(n_chars, 0) // 50) || 'end\"]}}' AS body FROM documents), "
+    f"k AS (SELECT doc_id, body, length(body) AS n, CAST(ceil(length(body) / {SMALL}.0) AS BIGINT) AS k FROM d), "
+    f"a AS (SELECT *, CAST(coalesce(sum(k + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {SMALL} AS BIGINT) AS start_offset, CAST(sum(k + 1) OVER () * {SMALL} AS BIGINT) AS size FROM k), "
+    f"v AS (SELECT *, CAST(least(3, start_offset // greatest({SMALL}, size // 4 // {SMALL} * {SMALL})) AS INTEGER) AS worker_id FROM a), "
+    "u AS (SELECT *, CAST(row_number() OVER (PARTITION BY worker_id ORDER BY start_offset) - 1 AS INTEGER) AS file_id FROM v)"
+)
+_GAPS = f"WITH {_BROKEN} SELECT worker_id, file_id, 'carved_w' || worker_id || '_' || file_id || '.json' AS filename, 'complete' AS status, start_offset, CASE WHEN k > 1 THEN 2 ELSE 1 END AS n_fragments, n + CASE WHEN k > 1 THEN {SMALL} ELSE 0 END AS total_size, md5(body) AS digest FROM u"
+
+
+def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workers' reports of such a run, written, merged and read again: the order of the merged file as a column."""
+    base, path = located(shared_folder(spark))
+    folder = Path(path) / f"reports-{uuid4().hex}"
+    folder.mkdir(parents=True)
+    write_worker_reports(_broken_files(spark, sf_dir), folder, 4)
+    merged = reports(spark, str(merge_reports(spark, folder)))
+    return merged.select(F.posexplode("files").alias("rank", "f")).select("rank", "f.filename", "f.status", F.size("f.fragments").alias("n_fragments"), "f.total_size")
+
+
+_MERGED = f"WITH {_BROKEN} SELECT CAST(row_number() OVER (ORDER BY start_offset) - 1 AS INTEGER) AS rank, 'carved_w' || worker_id || '_' || file_id || '.json' AS filename, 'complete' AS status, CASE WHEN k > 1 THEN 2 ELSE 1 END AS n_fragments, n + CASE WHEN k > 1 THEN {SMALL} ELSE 0 END AS total_size FROM u"
+
+_TEXTS = (("xml", '<?xml version="1.0"?><row><id>#</id><!-- <p> --><name>name #</name></row>'), ("html", "<!DOCTYPE html><html><body><p>line<br># <i>x</i></p></body></html>"), ("json", '{"id":#,"name":"a \\" #","list":[1,{"b":2}]}'), ("rtf", "{\\rtf1 {\\b bold #} \\{ # }"))
+
+
+def text_walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each text format for each customer: whole, whole with text after it, or cut short."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, t in _TEXTS])).alias("x")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", kinds).select(F.concat_ws(":", "x.kind", "c_custkey").alias("name"), F.col("c_custkey") % 3, F.replace("x.t", F.lit("#"), F.col("c_custkey").cast("string"))).toDF("name", "how", "t")
+    value = F.when(F.col("how") == 0, F.expr("substring(t, 1, length(t) - 3)")).when(F.col("how") == 1, F.concat("t", F.when(F.startswith("name", F.lit("json")), F.lit(" \n ")).otherwise(F.lit(" and more")))).otherwise(F.col("t"))
+    files = carve.carve_values(rows.withColumn("value", value), "name", "value", CarveOptions(formats=("xml", "html", "json", "rtf")))
+    return files.select(F.col("image").alias("name"), "file_id", "format", "status", "total_size")
+
+
+_TEXT_SQL = "WITH k(kind, t) AS (VALUES {}), r AS (SELECT kind, kind || ':' || c_custkey AS name, c_custkey % 3 AS how, length(replace(t, '#', CAST(c_custkey AS VARCHAR))) AS n FROM customer, k) SELECT name, CAST(0 AS INTEGER) AS file_id, kind AS format, CASE WHEN how = 0 THEN 'incomplete_eof' ELSE 'complete' END AS status, CASE WHEN how = 0 THEN n - 3 ELSE n END AS total_size FROM r".format(
+    ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in _TEXTS)
+)
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,18 +306,45 @@ def dashboard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAYOUT = f"WITH f AS ({_COALESCE}), s AS (SELECT *, min(start_offset) OVER w AS a, max(end_offset) OVER w AS z, max(fragment_id) OVER w AS top FROM f WINDOW w AS (PARTITION BY page_id)) SELECT page_id, fragment_id, round((start_offset - a) * 100.0::DOUBLE / (z - a), 6) AS left_pct, round(greatest(2.0::DOUBLE, size * 100.0::DOUBLE / (z - a)), 6) AS width_pct, fragment_id = top AS is_last FROM s"
 
-_LISTS = ((1, "word/document.xml"), (1, "[Content_Types].xml"), (2, "xl/workbook.xml"), (3, "ppt/presentation.xml"), (4, "readme.txt"), (5, "xl/workbook.xml"), (5, "word/document.xml"))
+_MEMBERS = (("word/document.xml", "[Content_Types].xml"), ("xl/workbook.xml",), ("ppt/presentation.xml", "a.txt"), ("readme.txt", "b/c.txt"), ("xl/workbook.xml", "word/document.xml"))
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, value): a ZIP archive for each nation, whose members hold its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = []
+            for key, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for member in _MEMBERS[key % len(_MEMBERS)]:
+                        z.writestr(zipfile.ZipInfo(member, (2020, 1, 1, 0, 0, 0)), name)
+                values.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary())], ["n_nationkey", "value"])
+
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name").mapInArrow(run, "n_nationkey long, value binary")
 
 
 def office_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(_LISTS), "archive int, member string").groupBy("archive").agg(F.collect_set("member").alias("names"))
-    kind = F.lit("zip")
-    for member, ext in reversed(carve.OFFICE):
-        kind = F.when(F.array_contains("names", member), ext).otherwise(kind)
-    return rows.select("archive", kind.alias("format"))
+    """Whole archives carved and named by their main member."""
+    files = carve.carve_values(_archives(spark, sf_dir), "n_nationkey", "value", CarveOptions(formats=("zip",)))
+    return files.select(F.col("image").cast("long").alias("n_nationkey"), "file_id", "format", "status")
+
+
+_OFFICE = "SELECT n_nationkey, CAST(0 AS INTEGER) AS file_id, CASE n_nationkey % 5 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'zip' ELSE 'docx' END AS format, 'complete' AS status FROM nation"
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the plain archives in an image, which holds one archive every 8192 bytes."""
+    rows = kept(_archives(spark, sf_dir).select((F.col("n_nationkey") * 8192).alias("start_offset"), F.col("value").alias("bytes")))
+    size = rows.agg(F.coalesce(F.max("start_offset") + 8192, F.lit(0).cast("long"))).first()[0]
+    files = Carver(spark, CarveOptions(formats=("zip",)), 1 << 16).files(image_of(rows, size, "archives"))
+    at = files.select("filename", (report.first_start(F.col("fragments")) / 8192).cast("long").alias("n_nationkey"))
+    return members(files).join(at, "filename").select("n_nationkey", "member", F.md5("content").alias("digest"), "error")
 
 
-_OFFICE = f"SELECT archive, CASE WHEN bool_or(member = 'word/document.xml') THEN 'docx' WHEN bool_or(member = 'xl/workbook.xml') THEN 'xlsx' WHEN bool_or(member = 'ppt/presentation.xml') THEN 'pptx' ELSE 'zip' END AS format FROM (VALUES {', '.join(map(str, _LISTS))}) t(archive, member) GROUP BY archive"
+_ARCHIVED = "SELECT n_nationkey, unnest(['readme.txt', 'b/c.txt']) AS member, md5(n_name) AS digest, CAST(NULL AS VARCHAR) AS error FROM nation WHERE n_nationkey % 5 = 3"
 
 
 def _headers() -> list[tuple[int, str, bytes, int | None]]:
@@ -284,20 +415,20 @@ def walkers_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample, padded with zeros to the next cluster and one more, carved out of an image of its own."""
     rows = spark.createDataFrame([(k, bytearray(v + bytes(2 * 512 - len(v) % 512))) for k, v in samples()], "name string, value binary")
     files = carve.carve_values(rows, "name", "value", CarveOptions(512))
-    return files.where("file_id = 0").select(F.col("image").alias("name"), "format", "status", "total_size")
+    return files.select(F.col("image").alias("name"), "file_id", "format", "status", "total_size")
 
 
-_WALKERS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{k}', 'complete', CAST({len(v)} AS BIGINT))" for k, v in samples()) + ") t(name, format, status, total_size)"
+_WALKERS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', 0, '{k}', 'complete', CAST({len(v)} AS BIGINT))" for k, v in samples()) + ") t(name, file_id, format, status, total_size)"
 
 
 def carve_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as an image: the markup and JSON files in it, by the walk that images get."""
-    return carve.carve_values(_table(spark, sf_dir, "pages"), "page_id", "html", CarveOptions(formats=("xml", "html", "json", "rtf", "pdf"))).drop("pieces")
+    """Every page as an image: the files of all formats in it, by the walk that images get."""
+    return carve.carve_values(_table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (carve_status, scan_clusters, split_plan, signature_hits, text_gate, tag_events, stack_balance, stack_balance_structural, json_brackets, fragment_coalesce, gap_jump_nearest, overlap_tail, linear_carve, status_summary, merge_sorted, dashboard_layout, office_detect, header_only_sizes, walkers_binary, carve_pages)
+    for f in (carve_status, scan_clusters, split_plan, signature_hits, text_gate, tag_events, stack_balance, stack_balance_structural, json_brackets, fragment_coalesce, gap_jump_nearest, overlap_tail, linear_carve, status_summary, merge_sorted, dashboard_layout, office_detect, header_only_sizes, walkers_binary, carve_pages, image_scan, carve_gaps, merged_report, text_walkers, archive_members)
 }
 ORACLE_SQL: dict[str, str] = {
     "carve_status": _STATUS, "scan_clusters": _SCAN, "split_plan": _SPLIT, "signature_hits": _signature_sql(), "text_gate": _GATE,
@@ -307,4 +438,5 @@ ORACLE_SQL: dict[str, str] = {
     "status_summary": f"WITH {_FILES} SELECT count(*) AS files, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'incomplete_eof') AS incomplete_eof, CAST(sum(total_size) AS BIGINT) AS total_size FROM s",
     "merge_sorted": f"WITH {_FILES} SELECT CAST(page_id AS INTEGER) AS file_id, 'carved_' || page_id AS filename, status, n AS n_fragments, first_start, total_size FROM s",
     "dashboard_layout": _LAYOUT, "office_detect": _OFFICE, "header_only_sizes": _SIZES, "walkers_binary": _WALKERS,
+    "image_scan": _IMAGE, "carve_gaps": _GAPS, "merged_report": _MERGED, "text_walkers": _TEXT_SQL, "archive_members": _ARCHIVED,
 }

@@ -1,4 +1,4 @@
-"""Reports on disk and the dashboard page. All that is collected here is one row a file of the report."""
+"""Reports on disk, worker logs and the dashboard page. Rows of files are streamed from the tasks to the file, never held together."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def numbered_folder(base: str, image: str) -> Path:
             i += 1
 
 
-def logger(name: str, file: Path | None = None) -> logging.Logger:
+def logger(name: str, file: Path | None = None, console: bool = True) -> logging.Logger:
     """To the console, and to a file if one is given."""
     log = logging.getLogger(f"shardlight.{name}")
     for h in list(log.handlers):
@@ -37,38 +37,72 @@ def logger(name: str, file: Path | None = None) -> logging.Logger:
         h.close()
     log.setLevel(logging.INFO)
     log.propagate = False
-    for h in [logging.StreamHandler(sys.stderr), *([logging.FileHandler(file)] if file else [])]:
+    for h in [*([logging.StreamHandler(sys.stderr)] if console else []), *([logging.FileHandler(file)] if file else [])]:
         h.setFormatter(logging.Formatter("[{asctime}] [{name}] [{levelname}] {message}", style="{"))
         log.addHandler(h)
     return log
 
 
-def write_worker_reports(files: DataFrame, folder: Path, workers: int = 1, error: str | None = None) -> list[Path]:
-    """``carve_report_w{n}.json`` for each worker, also for those without files."""
-    rows = files.select("worker_id", F.to_json(F.struct(*COLUMNS)).alias("j")).orderBy("worker_id", "file_id").toLocalIterator() if error is None else iter(())
-    by: dict[int, list] = {w: [] for w in range(workers)}
-    for r in rows:
-        by.setdefault(r["worker_id"], []).append(json.loads(r["j"]))
-    out = []
-    for w, own in by.items():
-        out.append(folder / f"carve_report_w{w}.json")
-        out[-1].write_text(json.dumps({"files": own} | ({"error": error} if error else {}), indent=4))
-    return out
+class _Report:
+    """A report file that grows file by file, so that its rows are never all in memory."""
+
+    def __init__(self, path: Path):
+        self.path, self.file, self.n = path, path.open("w"), 0
+        self.file.write('{\n    "files": [')
+
+    def add(self, row: str) -> None:
+        self.file.write(("," if self.n else "") + "\n        " + row)
+        self.n += 1
+
+    def close(self, error: str | None) -> None:
+        self.file.write(("\n    " if self.n else "") + "]" + (f',\n    "error": {json.dumps(error)}' if error else "") + "\n}")
+        self.file.close()
+
+
+def write_worker_reports(files: DataFrame | None, folder: Path, workers: int = 1, error: str | None = None) -> list[Path]:
+    """``carve_report_w{n}.json`` for each worker, also for those without files, and with ``error`` where the run failed.
+
+    Rows come one partition at a time. ``files`` is what was found until then, or None.
+    """
+    out = {w: _Report(folder / f"carve_report_w{w}.json") for w in range(workers)}
+    try:
+        if files is not None:
+            for r in files.select("worker_id", F.to_json(F.struct(*COLUMNS)).alias("j")).orderBy("worker_id", "file_id").toLocalIterator():
+                out[r["worker_id"]].add(r["j"])
+    finally:
+        for x in out.values():
+            x.close(error)
+    return [x.path for x in out.values()]
 
 
 def merge_reports(spark: SparkSession, folder: Path, error: str | None = None) -> Path:
-    """One ``carve_report.json`` out of the workers' reports, which go; their errors are kept."""
+    """One ``carve_report.json`` out of the workers' reports, which go; their errors are kept, each once."""
     parts = sorted(folder.glob("carve_report_w*.json"))
-    files, errors = [], [error] if error else []
+    errors = [error] if error else []
+    made = _Report(folder / "carve_report.json")
     if parts:
         read = reports(spark, f"{folder}/carve_report_w*.json")
-        files = [json.loads(r["j"]) for r in report.merged(read).select(F.to_json(F.struct(*COLUMNS)).alias("j")).collect()]
+        for r in report.merged(read).select(F.to_json(F.struct(*COLUMNS)).alias("j")).toLocalIterator():
+            made.add(r["j"])
         errors += [r["error"] for r in report.errors(read).collect()]
-    target = folder / "carve_report.json"
-    target.write_text(json.dumps({"files": files} | ({"error": "; ".join(errors)} if errors else {}), indent=4))
+    made.close("; ".join(dict.fromkeys(errors)) or None)
     for p in parts:
         p.unlink()
-    return target
+    return made.path
+
+
+def write_worker_logs(files: DataFrame, folder: Path, workers: int = 1) -> list[Path]:
+    """``audit_w{n}.log`` for each worker: what it found, by format and status. A line a pair, whatever the number of files."""
+    start = report.first_start(F.col("fragments"))
+    found = files.groupBy("worker_id", "format", "status").agg(F.count("*").alias("n"), F.sum("total_size").alias("size"), F.min(start).alias("first"), F.max(start).alias("last"))
+    lines: dict[int, list[str]] = {w: [] for w in range(workers)}
+    for r in found.orderBy("worker_id", "format", "status").collect():
+        lines[r["worker_id"]].append(f"{r['n']} {r['format']} files {r['status']}, {r['size']} bytes, starting from {r['first']} to {r['last']}")
+    for w, own in lines.items():
+        log = logger(f"w{w}", folder / f"audit_w{w}.log", console=False)
+        for line in own or ["no files"]:
+            log.info("%s", line)
+    return [folder / f"audit_w{w}.log" for w in lines]
 
 
 _STYLE = "body{font:14px sans-serif;margin:2em;background:#f6f7f9;color:#222}.cards{display:flex;gap:1em;margin:1em 0}.card{background:#fff;border-radius:6px;padding:1em 1.5em}.card b{display:block;font-size:1.8em}table{border-collapse:collapse;width:100%;background:#fff}td,th{padding:.5em .8em;border-bottom:1px solid #e4e6ea;text-align:left}.bar{position:relative;height:12px;background:#eceef2;min-width:160px}.bar i{position:absolute;height:12px;background:#5b7fbd}.bar i.last{background:#3a9d6e}.err{background:#fdecea;padding:1em}"
@@ -87,18 +121,18 @@ def dashboard(spark: SparkSession, report_path: str, target: str, log: logging.L
         return False
     files = report.merged(read)
     counts = report.status_counts(files).first().asDict()
-    rows = files.select("filename", "format", "status", F.size("fragments").alias("n"), "total_size", "fragments", report.layout(F.col("fragments")).alias("bars")).collect()
+    rows = files.select("filename", "format", "status", F.size("fragments").alias("n"), "total_size", "fragments", report.layout(F.col("fragments")).alias("bars"))
     e = lambda x: html.escape("" if x is None else str(x))
-    body = []
-    for r in rows:
-        bars = "".join(
-            f'<i{" class=last" if b["is_last"] else ""} style="left:{b["left_pct"]:.2f}%;width:{b["width_pct"]:.2f}%" title="{f["start_offset"]} to {f["end_offset"]}, {f["size"]} bytes"></i>' for f, b in zip(r["fragments"] or [], r["bars"] or [], strict=True)
-        )
-        status = r["status"] or ""
-        body.append(f'<tr data-status="{e(status)}"><td>{e(r["filename"])}</td><td>{e((r["format"] or "").upper())}</td><td>{e(status.replace("_", " ").capitalize())}</td><td>{max(0, r["n"])}</td><td>{r["total_size"] or 0:,}</td><td><div class=bar>{bars}</div></td></tr>')
     cards = "".join(f'<div class="card {k}"><b>{counts[k]}</b>{k.replace("_", " ")}</div>' for k in ("files", *report.STATUSES))
     buttons = "".join(f"<button onclick=\"show('{s}')\">{s.replace('_', ' ')}</button> " for s in ("all", *report.STATUSES))
     faults = "".join(f"<p class=err>{e(x['error'])}</p>" for x in report.errors(read).collect())
-    page = f"<!doctype html><html><head><meta charset=utf-8><title>Recovered files</title><style>{_STYLE}</style><script>{_SCRIPT}</script></head><body><h1>Recovered files</h1>{faults}<div class=cards>{cards}</div>{buttons}<table><tr><th>File<th>Format<th>Status<th>Fragments<th>Bytes<th>Layout</tr>{''.join(body)}</table></body></html>"
-    Path(target).write_text(page)
+    with open(target, "w") as page:
+        page.write(f"<!doctype html><html><head><meta charset=utf-8><title>Recovered files</title><style>{_STYLE}</style><script>{_SCRIPT}</script></head><body><h1>Recovered files</h1>{faults}<div class=cards>{cards}</div>{buttons}<table><tr><th>File<th>Format<th>Status<th>Fragments<th>Bytes<th>Layout</tr>")
+        for r in rows.toLocalIterator():
+            bars = "".join(
+                f'<i{" class=last" if b["is_last"] else ""} style="left:{b["left_pct"]:.2f}%;width:{b["width_pct"]:.2f}%" title="{f["start_offset"]} to {f["end_offset"]}, {f["size"]} bytes"></i>' for f, b in zip(r["fragments"] or [], r["bars"] or [], strict=True)
+            )
+            status = r["status"] or ""
+            page.write(f'<tr data-status="{e(status)}"><td>{e(r["filename"])}</td><td>{e((r["format"] or "").upper())}</td><td>{e(status.replace("_", " ").capitalize())}</td><td>{max(0, r["n"])}</td><td>{r["total_size"] or 0:,}</td><td><div class=bar>{bars}</div></td></tr>')
+        page.write("</table></body></html>")
     return True

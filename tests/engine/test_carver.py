@@ -14,7 +14,7 @@ from shardlight.operators import report, scan, structure
 from shardlight.operators.carve import carve_hits, search
 from shardlight.operators.follow import Image
 from shardlight.options import CarveOptions
-from shardlight.plans.carver import Carver, contents, members, write_files
+from shardlight.plans.carver import Carver, contents, members, write_files, write_members
 from shardlight.queries import samples
 from shardlight.sources.configs import custom_formats, reports
 from shardlight.sources.image import Buffered, register, splits
@@ -127,6 +127,20 @@ def test_files_contents_and_office(spark, write, tmp_path):
     assert sorted(p.name for p in out.iterdir()) == sorted(body)
     got = {r["member"]: (r["content"], r["error"]) for r in members(files).collect()}
     assert bytes(got["ok.txt"][0]) == b"fine" and got["big.txt"] == (None, "too large")
+    wrote = {r["member"]: (r["size"], r["error"]) for r in write_members(files, str(out)).collect()}
+    assert wrote == {"ok.txt": (4, None), "big.txt": (None, "too large")}
+    assert (out / f"{rows[1]['filename']}_extracted" / "ok.txt").read_bytes() == b"fine"
+
+
+def test_members_stay_in_their_folder(spark, write, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("../evil.txt", "x")
+        z.writestr("/abs/./in.txt", "y")
+    files = Carver(spark, CarveOptions(512, formats=("zip",))).files(write(out.getvalue() + bytes(600)))
+    wrote = {r["member"]: r["error"] for r in write_members(files, str(tmp_path / "m")).collect()}
+    assert wrote == {"../evil.txt": "outside", "/abs/./in.txt": None}
+    assert [p.name for p in tmp_path.rglob("*.txt")] == ["in.txt"] and (tmp_path / "m" / "carved_w0_0.zip_extracted" / "abs" / "in.txt").read_text() == "y"
 
 
 def test_reports_merge_and_dashboard(spark, tmp_path):
@@ -225,7 +239,8 @@ def test_command_line(spark, write, tmp_path):
     folder = tmp_path / "o" / "disk.dd.1"
     report_ = json.loads((folder / "carve_report.json").read_text())
     assert report_["files"] and all((folder / f["filename"]).stat().st_size > 0 for f in report_["files"] if f["status"] == "complete")
-    assert (folder / "dashboard.html").exists() and (folder / "audit_main.log").exists()
+    assert (folder / "dashboard.html").exists() and "formats: xml, html" in (folder / "audit_main.log").read_text()
+    assert " files complete, " in (folder / "audit_w0.log").read_text() + (folder / "audit_w1.log").read_text()
     assert cli.main(["-i", str(tmp_path / "none"), "-o", str(tmp_path)]) == 1
     assert cli.main(["-i", path, "-o", str(tmp_path), "-c", "0"]) == 1
     assert cli.main(["dashboard", "-i", str(folder / "carve_report.json"), "-o", str(tmp_path / "d.html")]) == 0
@@ -239,3 +254,13 @@ def test_odd_headers_and_overlapping_ones_are_found(spark):
     formats = [linear("e", b"A\\EB", b"!"), linear("x", b"XYXY", b"!"), linear("r", b"$^([", b"!"), linear("n", b".\n", b"!")]
     found = {(r["image"], r["start_offset"], r["format"]) for r in scan.hits(clusters, formats).collect()}
     assert found == {("a", 1, "e"), ("a", 6, "e"), ("b", 0, "x"), ("b", 2, "x"), ("b", 8, "r"), ("b", 6, "n")}
+
+
+def test_failed_run_still_reports_what_was_found(spark, write, tmp_path, monkeypatch):
+    def fail(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(cli, "write_members", fail)
+    assert cli.main(["-i", write(mixed_image(2, 10)), "-o", str(tmp_path / "o"), "-c", "512", "-w", "2"]) == 1
+    made = json.loads((tmp_path / "o" / "disk.dd.1" / "carve_report.json").read_text())
+    assert made["files"] and made["error"] == "OSError: disk full"
