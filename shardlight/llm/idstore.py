@@ -54,6 +54,8 @@ def encoded(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     The pattern's ``\\s+(?!\\S)`` needs stack for each character of a run of white space. Of long runs the piece that it would
     match, all but the last character before another one, is encoded by itself; the ids are the same.
     """
+    if not any(text[i : i + 500].isspace() for i in range(0, len(text), 500)):  # a run of 1000 has such a stretch
+        return np.array(enc.encode_ordinary(text), np.uint16)
     ids: list[int] = []
     at = 0
     for m in _SPACES.finditer(text):
@@ -151,7 +153,7 @@ def manifests(recipes: DataFrame) -> DataFrame:
         own = own.join(crowded, own.bucket.eqNullSafe(F.col("b"))).withColumn("part", F.pmod(F.xxhash64("at", "key"), F.col("parts")))
         parts = own.groupBy("bucket", "part").agg(hashed(F.struct("at", "key", "times")), F.sum("times").alias("n"))
         nodes = parts.groupBy("bucket").agg(F.count("*").alias("several"), F.first("key").alias("only"), hashed(F.struct("part", "key", F.lit(1).alias("times"))), F.sum("n").cast("int").alias("n"))
-        nodes = nodes.select("bucket", F.when(F.col("several") == 1, F.col("only")).otherwise(F.col("key")).alias("key"), "n")
+        nodes = written(nodes.select("bucket", F.when(F.col("several") == 1, F.col("only")).otherwise(F.col("key")).alias("key"), "n"), f"level{level}")
         one = nodes.select(F.lit(level).alias("level"), "bucket", "key", "n")
         out = one if out is None else out.unionByName(one)
         below = nodes.select(F.col("bucket").alias("at"), "key")
@@ -163,7 +165,7 @@ def store(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     staged = written(_staged(docs, ranks), "ids")
     chunks = staged.where("kind = 'chunk'").groupBy("kind", "key").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
     recipes = staged.where("kind = 'recipe'").select("kind", "key", "doc_id", "n", "chunks")
-    tree = written(manifests(recipes), "manifests").withColumn("kind", F.lit("manifest"))
+    tree = manifests(recipes).withColumn("kind", F.lit("manifest"))
     rows = chunks.unionByName(recipes, True).unionByName(tree, True)
     return rows.select("kind", "key", "doc_id", "n", "ids", "chunks", "level", "bucket")
 

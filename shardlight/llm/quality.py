@@ -64,7 +64,7 @@ def examples(texts: pa.Array, bits: int, scale: float) -> Iterator[tuple[np.ndar
         streams, total = _streams(data, begin, bits)
         for k, n in enumerate(total):
             slots, counts = np.unique(np.concatenate([s[b[k] : b[k + 1]] for s, b in streams]), return_counts=True)
-            yield slots, counts * (scale / max(1, n))
+            yield slots.astype(np.int32), counts * (scale / max(1, n))
 
 
 def fit(texts: pa.Array, good: np.ndarray, bits: int = 20, scale: float = 30.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1.0, epochs: int = 3) -> Model:
@@ -114,7 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, **settin
     order = pc.sort_indices(rows["doc_id"])
     shuffled = np.asarray(order)[np.random.default_rng(7).permutation(rows.num_rows)]
     rows = rows.take(pa.array(shuffled))
-    return fit(rows["text"].combine_chunks(), np.asarray(rows["quality"]) > 0, **settings)
+    try:
+        return fit(rows["text"].combine_chunks(), np.asarray(rows["quality"]) > 0, **settings)
+    finally:
+        del rows
+        release()
 
 
 def score_texts(texts: pa.Array, model: Model, weights: np.ndarray) -> np.ndarray:
