@@ -454,7 +454,9 @@ def _scanned(suffixes: DataFrame, least: int) -> DataFrame:
 
     own = suffixes.groupBy("run", "path_id").agg(F.first("path").alias("path"), F.min("left").alias("lo"), F.max("left").alias("hi"), F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first"))
     own = own.select("run", "path", "path_id", "lo", "hi", "n", "first.doc", "first.start")
-    return own.repartition("run").sortWithinPartitions("run", "path").mapInArrow(run, "tree long, lo int, hi int, words int, path_id long, doc long, start int, n long, again int")
+    # a number of its own keeps small rows, which take Python time, in as many tasks as there are shuffle partitions
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(parts, "run").sortWithinPartitions("run", "path").mapInArrow(run, "tree long, lo int, hi int, words int, path_id long, doc long, start int, n long, again int")
 
 
 class _Found:

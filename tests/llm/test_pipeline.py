@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what the one before kept, against plain versions."""
 
 import importlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from shardlight.llm import minhash, mixing, packing, quality, queries, shared
 
 from .test_chat_mixing_packing import plain_mix
 from .test_near_quality import components
-from .test_repeats import brute
+from .test_repeats import without_repeats
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -54,26 +54,16 @@ def test_near_stage(stages):
     assert {r["doc_id"] for r in rows_of(stages[2])} == {r["doc_id"] for r in rows if roots.get(r["doc_id"], r["doc_id"]) == r["doc_id"]}
 
 
-def overlaps_itself(words, least=50):
-    first = {}
-    return any(0 < i - first.setdefault(tuple(words[i : i + least]), i) < least for i in range(len(words) - least + 1))
-
-
 def test_repeat_stage(stages):
     before, after = {r["doc_id"]: r["text"] for r in rows_of(stages[2])}, {r["doc_id"]: r for r in rows_of(stages[3])}
-    cut = defaultdict(set)
-    # a text that overlaps itself (a word or line said over and over) is a defined case of its own
-    looped = {d for d, t in before.items() if overlaps_itself(t.split())}
-    assert len(looped) < 0.1 * len(before)
-    before = {d: t for d, t in before.items() if d not in looped}
-    for words, where in brute(sorted(before.items()), 50):
-        for d, start in sorted(where)[1:]:
-            cut[d] |= set(range(start, start + words))
+    want = without_repeats(before, 50)
+    cut = 0
     for d, text in before.items():
-        want = [w for i, w in enumerate(text.split()) if i not in cut[d]]
-        assert (after[d]["text"].split() if d in after else []) == want
-        if d in after:
-            assert after[d]["n_chars"] == (len(after[d]["text"]) if d in cut and cut[d] else after[d]["n_chars"])
+        assert (after[d]["text"].split() if d in after else []) == want[d]
+        cut += len(text.split()) - len(want[d])
+        if d in after and len(want[d]) < len(text.split()):
+            assert after[d]["n_chars"] == len(after[d]["text"])
+    assert cut > 0
 
 
 def test_mix_and_pack_stages(stages):

@@ -198,3 +198,60 @@ def test_occurrences_name_every_copy(spark):
     assert len(rows) == 7
     assert groups_of(rows) == {(60, frozenset({(1, 1), (2, 2), (3, 2), (4, 2)}))}
     assert {(r["words"], r["doc_id"]) for r in rows if r["group_id"].startswith("text:")} == {(62, 2), (62, 3), (62, 4)}
+
+
+def without_repeats(docs, least):
+    """{id: words left}. A word goes if a run of ``least`` words over it occurs before, by id and place: just these runs make up
+    the occurrences of maximal repeats that aren't the first."""
+    seen, out = set(), {}
+    for d in sorted(docs):
+        words = docs[d].split()
+        gone = [False] * len(words)
+        for i in range(len(words) - least + 1):
+            run = tuple(words[i : i + least])
+            if run in seen:
+                gone[i : i + least] = [True] * least
+            seen.add(run)
+        out[d] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return out
+
+
+def test_whole_table_against_plain_versions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in table.collect()}
+    words = {d: t.split() for d, t in docs.items()}
+    rows = repeats.repeat_tree(table).collect()
+    # every place of a run of 50 words that has two different words before it somewhere; equal texts count once for that
+    first = {}
+    for d in sorted(docs):
+        first.setdefault(docs[d], d)
+    before, where = {}, {}
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            run = tuple(w[i : i + 50])
+            where.setdefault(run, []).append((d, i))
+            if first[docs[d]] == d:
+                before.setdefault(run, set()).add(w[i - 1] if i else (d,))
+    want = {p for run, at in where.items() if len(before[run]) > 1 for p in at}
+    places = [r for r in rows if r["kind"] == "place"]
+    assert {(r["doc_id"], r["start"]) for r in places} == want and len(places) == len(want) > 1000
+    by_tree = {}
+    for r in places:
+        if first[docs[r["doc_id"]]] == r["doc_id"]:
+            by_tree.setdefault(r["tree"], {}).setdefault(r["lo"], []).append((r["doc_id"], r["start"]))
+    groups = [r for r in rows if r["kind"] == "repeat"]
+    rng = random.Random(0)
+    for g in rng.sample(groups, 300):
+        n, own = g["words"], [p for rank in range(g["lo"], g["hi"] + 1) for p in by_tree[g["tree"]].get(rank, ())]
+        texts = {tuple(words[d][i : i + n]) for d, i in own}
+        assert len(texts) == 1 and len(own) == g["n"] and min(own) == (g["doc_id"], g["start"])
+        assert len({words[d][i - 1] if i else (d,) for d, i in own}) > 1 and len({words[d][i + n] if i + n < len(words[d]) else (d,) for d, i in own}) > 1
+        run = next(iter(texts))[:50]
+        assert len(own) == sum(tuple(words[d][i : i + n]) in texts for d, i in where[run] if first[docs[d]] == d)
+    longest = {}
+    for g in groups:
+        for rank in range(g["lo"], g["hi"] + 1):
+            longest[g["tree"], rank] = max(g["words"], longest.get((g["tree"], rank), 0))
+    assert all(r["words"] == longest[r["tree"], r["lo"]] for r in places)
+    left = {r["doc_id"]: r["text"].split() for r in repeats.keep_first(table).collect()}
+    assert all(left.get(d, []) == w for d, w in without_repeats(docs, 50).items())
