@@ -149,14 +149,24 @@ def carve_values(rows: DataFrame, id_column: str, value_column: str, opt: CarveO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         formats = opt.active()
+        keys: list[str] = []
+        files: list[Found] = []
         for b in batches:
             for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not value:
                     continue
                 image = Image(len(value), lambda p, n, v=value: v[p : p + n])
-                found = list(carve_hits(image, search(value, formats), formats, opt))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), *found_rows(found, opt)], ["image", *(n for n, _ in ARROW)])
+                for got in carve_hits(image, search(value, formats), formats, opt):
+                    keys.append(key)
+                    files.append(got)
+                    if len(files) == 1000:
+                        yield batch(keys, files)
+                        keys, files = [], []
+        if files:
+            yield batch(keys, files)
+
+    def batch(keys: list[str], files: list[Found]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *found_rows(files, opt)], ["image", *(n for n, _ in ARROW)])
 
     own = rows.select(F.col(id_column).cast("string").alias("image"), F.col(value_column).cast("binary").alias("value"))
     files = numbered(own.mapInArrow(run, f"image string, {FOUND}"), F.lit(0))
