@@ -27,7 +27,10 @@ def first_start(fragments: Column) -> Column:
 
 def merged(reports: DataFrame) -> DataFrame:
     """All files of several reports, by the start of their first fragment (0 without one), then name. Nothing is dropped."""
-    files = reports.select(F.explode("files").alias("f")).select("f.*")
+    return in_order(reports.select(F.explode("files").alias("f")).select("f.*"))
+
+
+def in_order(files: DataFrame) -> DataFrame:
     return files.orderBy(first_start(F.col("fragments")), "filename", "file_id")
 
 

@@ -39,10 +39,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def image_of(parts: DataFrame, size: int, name: str = "image") -> str:
-    """The path of an image file of ``size`` bytes in the shared folder, with ``parts`` (start_offset, bytes) in it and zeros elsewhere.
-
-    Tasks write their parts in place, so a task that runs again writes the same. The folder has to be a mounted one.
-    """
+    """The path of an image file of ``size`` bytes in the shared folder, with ``parts`` (start_offset, bytes) in it and zeros elsewhere."""
     where, path = located(f"{shared_folder(parts.sparkSession)}/{name}-{uuid4().hex}.dd")
     if not isinstance(where, fs.LocalFileSystem):
         raise ValueError("an image is written in place, which needs a mounted folder")
@@ -50,16 +47,31 @@ def image_of(parts: DataFrame, size: int, name: str = "image") -> str:
     with open(path, "wb") as f:
         f.truncate(size)
     atexit.register(Path(path).unlink, True)
+    write_in_place(parts.select(F.lit(path).alias("path"), "start_offset", "bytes"))
+    return path
+
+
+def write_in_place(parts: DataFrame) -> None:
+    """Writes ``parts`` (path, start_offset, bytes) into files that are there already.
+
+    Tasks write their parts in place, so a task that runs again writes the same. The folder has to be a mounted one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        with open(path, "r+b") as f:
+        n, path, f = 0, None, None
+        try:
             for b in batches:
-                for at, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for to, at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if to != path:
+                        if f:
+                            f.close()
+                        path, f = to, open(to, "r+b")
                     f.seek(at)
                     f.write(raw.as_py())
                     n += 1
+        finally:
+            if f:
+                f.close()
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    parts.select(F.col("start_offset").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
-    return path
+    parts.select("path", F.col("start_offset").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -24,7 +24,7 @@ from .operators import carve, report, scan, structure, virtual
 from .options import CarveOptions
 from .plans.carver import Carver, contents, members
 from .plans.tables import image_of, kept, shared_folder
-from .sources.configs import reports
+from .sources.configs import ranked_files
 from .sources.image import located, register, splits
 from .sources.output import merge_reports, write_worker_reports
 
@@ -253,8 +253,8 @@ def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Path(path) / f"reports-{uuid4().hex}"
     folder.mkdir(parents=True)
     write_worker_reports(_broken_files(spark, sf_dir), folder, 4)
-    merged = reports(spark, str(merge_reports(spark, folder)))
-    return merged.select(F.posexplode("files").alias("rank", "f")).select("rank", "f.filename", "f.status", F.size("f.fragments").alias("n_fragments"), "f.total_size")
+    merged = ranked_files(spark, str(merge_reports(spark, folder)))
+    return merged.select("rank", "f.filename", "f.status", F.size("f.fragments").alias("n_fragments"), "f.total_size")
 
 
 _MERGED = f"WITH {_BROKEN} SELECT CAST(row_number() OVER (ORDER BY start_offset) - 1 AS INTEGER) AS rank, 'carved_w' || worker_id || '_' || file_id || '.json' AS filename, 'complete' AS status, CASE WHEN k > 1 THEN 2 ELSE 1 END AS n_fragments, n + CASE WHEN k > 1 THEN {SMALL} ELSE 0 END AS total_size FROM u"

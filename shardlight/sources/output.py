@@ -1,4 +1,4 @@
-"""Reports on disk, worker logs and the dashboard page. Rows of files are streamed from the tasks to the file, never held together."""
+"""Reports on disk, worker logs and the dashboard page. Tasks write the rows of reports; the page is streamed, never held together."""
 
 from __future__ import annotations
 
@@ -6,15 +6,19 @@ import html
 import json
 import logging
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import report
-from .configs import reports
+from ..plans.tables import kept, write_in_place
+from .configs import ERROR, HEAD, ROW, report_files, reports
 
 COLUMNS = ("file_id", "filename", "format", "status", "fragments", "total_size")
+CHUNK = 1 << 20
 
 
 def numbered_folder(base: str, image: str) -> Path:
@@ -43,52 +47,89 @@ def logger(name: str, file: Path | None = None, console: bool = True) -> logging
     return log
 
 
-class _Report:
-    """A report file that grows file by file, so that its rows are never all in memory."""
+def _frame(path: Path, size: int, error: str | None) -> None:
+    """A report with room for ``size`` bytes of rows."""
+    with path.open("wb") as f:
+        f.write(HEAD.encode())
+        f.seek(size, 1)
+        f.write((("\n    " if size else "") + "]" + (f",\n{ERROR}{json.dumps(error)}" if error else "") + "\n}").encode())
 
-    def __init__(self, path: Path):
-        self.path, self.file, self.n = path, path.open("w"), 0
-        self.file.write('{\n    "files": [')
 
-    def add(self, row: str) -> None:
-        self.file.write(("," if self.n else "") + "\n        " + row)
-        self.n += 1
+def _write_reports(rows: DataFrame | None, targets: dict[int, Path], error: str | None) -> None:
+    """Rows (target, j), sorted by target first, into the reports of these numbers. Tasks write them, so the folder has to be a mounted one.
 
-    def close(self, error: str | None) -> None:
-        self.file.write(("\n    " if self.n else "") + "]" + (f',\n    "error": {json.dumps(error)}' if error else "") + "\n}")
-        self.file.close()
+    Sorted rows become chunks, placed by the sizes of the partitions before them; only these sizes share a window.
+    """
+
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None
+        held: list[bytes] = []
+        at = size = 0
+        for b in batches:
+            for part, target, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if held and (size >= chunk or (part, target) != own):
+                    yield batch(own, at, held)
+                    held, at, size = [], at + size, 0
+                if (part, target) != own:
+                    own, at = (part, target), 0
+                held.append(f",\n{ROW}{j}".encode())
+                size += len(held[-1])
+        if held:
+            yield batch(own, at, held)
+
+    def batch(own: tuple, at: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([at], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["part", "target", "at", "bytes"])
+
+    try:
+        sizes: dict[int, int] = {}
+        if rows is not None:
+            chunks = kept(rows.select(F.spark_partition_id().alias("part"), F.col("target").cast("int").alias("target"), "j").mapInArrow(run, "part int, target int, at long, bytes binary"))
+            parts = chunks.groupBy("target", "part").agg(F.sum(F.octet_length("bytes").cast("long")).alias("n"))
+            before = Window.partitionBy("target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+            parts = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            sizes = {r["target"]: r["n"] - 1 for r in parts.groupBy("target").agg(F.sum("n").alias("n")).collect()}
+            if unknown := sizes.keys() - targets.keys():
+                raise KeyError(f"no report for {[*unknown]}")
+        for k, path in targets.items():
+            _frame(path, sizes.get(k, 0), error)
+        if sizes:
+            # the first row of a report goes without its comma
+            start = F.col("base") + F.col("at")
+            path = F.create_map(*[x for k, p in targets.items() for x in (F.lit(k), F.lit(str(p.absolute())))])[F.col("target")]
+            placed = chunks.join(F.broadcast(parts), ["target", "part"])
+            write_in_place(placed.select(path.alias("path"), (len(HEAD) + F.greatest(start - 1, F.lit(0))).alias("start_offset"), F.when(start == 0, F.expr("substring(bytes, 2)")).otherwise(F.col("bytes")).alias("bytes")))
+    except BaseException:
+        for path in targets.values():
+            _frame(path, 0, error)
+        raise
 
 
 def write_worker_reports(files: DataFrame | None, folder: Path, workers: int = 1, error: str | None = None) -> list[Path]:
     """``carve_report_w{n}.json`` for each worker, also for those without files, and with ``error`` where the run failed.
 
-    Rows come one partition at a time. ``files`` is what was found until then, or None.
+    ``files`` is what was found until then, or None. Reports have no files where writing them fails.
     """
-    out = {w: _Report(folder / f"carve_report_w{w}.json") for w in range(workers)}
-    try:
-        if files is not None:
-            for r in files.select("worker_id", F.to_json(F.struct(*COLUMNS)).alias("j")).orderBy("worker_id", "file_id").toLocalIterator():
-                out[r["worker_id"]].add(r["j"])
-    finally:
-        for x in out.values():
-            x.close(error)
-    return [x.path for x in out.values()]
+    out = {w: folder / f"carve_report_w{w}.json" for w in range(workers)}
+    rows = None if files is None else files.orderBy("worker_id", "file_id").select(F.col("worker_id").alias("target"), F.to_json(F.struct(*COLUMNS)).alias("j"))
+    _write_reports(rows, out, error)
+    return [*out.values()]
 
 
 def merge_reports(spark: SparkSession, folder: Path, error: str | None = None) -> Path:
     """One ``carve_report.json`` out of the workers' reports, which go; their errors are kept, each once."""
     parts = sorted(folder.glob("carve_report_w*.json"))
-    errors = [error] if error else []
-    made = _Report(folder / "carve_report.json")
+    errors, rows = [error] if error else [], None
     if parts:
-        read = reports(spark, f"{folder}/carve_report_w*.json")
-        for r in report.merged(read).select(F.to_json(F.struct(*COLUMNS)).alias("j")).toLocalIterator():
-            made.add(r["j"])
-        errors += [r["error"] for r in report.errors(read).collect()]
-    made.close("; ".join(dict.fromkeys(errors)) or None)
+        files, faults = report_files(spark, [str(p) for p in parts])
+        errors += [r["error"] for r in faults.collect()]
+        rows = report.in_order(files).select(F.lit(0).alias("target"), F.to_json(F.struct(*COLUMNS)).alias("j"))
+    target = folder / "carve_report.json"
+    _write_reports(rows, {0: target}, "; ".join(dict.fromkeys(errors)) or None)
     for p in parts:
         p.unlink()
-    return made.path
+    return target
 
 
 def write_worker_logs(files: DataFrame, folder: Path, workers: int = 1) -> list[Path]:
@@ -115,17 +156,17 @@ def dashboard(spark: SparkSession, report_path: str, target: str, log: logging.L
     if not Path(report_path).is_file():
         log.error("no report at %s", report_path)
         return False
-    read = reports(spark, report_path)
-    if read.isEmpty():
+    files, faults = report_files(spark, [report_path])
+    if files.isEmpty() and faults.isEmpty() and reports(spark, report_path).isEmpty():
         log.error("%s isn't a report", report_path)
         return False
-    files = report.merged(read)
+    files = report.in_order(files)
     counts = report.status_counts(files).first().asDict()
     rows = files.select("filename", "format", "status", F.size("fragments").alias("n"), "total_size", "fragments", report.layout(F.col("fragments")).alias("bars"))
     e = lambda x: html.escape("" if x is None else str(x))
     cards = "".join(f'<div class="card {k}"><b>{counts[k]}</b>{k.replace("_", " ")}</div>' for k in ("files", *report.STATUSES))
     buttons = "".join(f"<button onclick=\"show('{s}')\">{s.replace('_', ' ')}</button> " for s in ("all", *report.STATUSES))
-    faults = "".join(f"<p class=err>{e(x['error'])}</p>" for x in report.errors(read).collect())
+    faults = "".join(f"<p class=err>{e(x['error'])}</p>" for x in faults.collect())
     with open(target, "w") as page:
         page.write(f"<!doctype html><html><head><meta charset=utf-8><title>Recovered files</title><style>{_STYLE}</style><script>{_SCRIPT}</script></head><body><h1>Recovered files</h1>{faults}<div class=cards>{cards}</div>{buttons}<table><tr><th>File<th>Format<th>Status<th>Fragments<th>Bytes<th>Layout</tr>")
         for r in rows.toLocalIterator():

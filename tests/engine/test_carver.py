@@ -16,7 +16,8 @@ from shardlight.operators.follow import Image
 from shardlight.options import CarveOptions
 from shardlight.plans.carver import Carver, contents, members, write_files, write_members
 from shardlight.queries import samples
-from shardlight.sources.configs import custom_formats, reports
+from shardlight.sources import output
+from shardlight.sources.configs import custom_formats, ranked_files, reports
 from shardlight.sources.image import Buffered, register, splits
 from shardlight.sources.output import dashboard, merge_reports, numbered_folder, write_worker_reports
 
@@ -169,6 +170,33 @@ def test_worker_reports_are_written_for_all(spark, tmp_path):
     assert numbered_folder(str(tmp_path), "a/disk.dd").name == "disk.dd.1" and numbered_folder(str(tmp_path), "disk.dd").name == "disk.dd.2"
 
 
+def test_reports_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    n = 3000
+    one = "array(named_struct('start_offset', {0}, 'end_offset', {0} + 1, 'size', 1L))"
+    files = spark.range(0, n, 1, 3).selectExpr("cast(id % 3 AS int) AS worker_id", "cast(id div 3 AS int) AS file_id", "concat('f\u00e4\\n,', id) AS filename", "'xml' AS format", "'complete' AS status", f"{one.format(f'(id * 7919) % {n}')} AS fragments", "id AS total_size")
+    most, kind = [], type(files)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "toLocalIterator", lambda *_, **__: pytest.fail("rows go through the driver"))
+    monkeypatch.setattr(kind, "collect", lambda df: most.append(len(rows := collect(df))) or rows)
+    monkeypatch.setattr(output, "CHUNK", 5000)
+    small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        own = [json.loads(p.read_text()) for p in write_worker_reports(files, tmp_path, 4, "boom")]
+        target = merge_reports(spark, tmp_path, "late")
+        got = sorted((r["rank"], r["f"]["filename"]) for r in collect(ranked_files(spark, str(target))))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [[f["filename"] for f in r["files"]] for r in own] == [[f"f\u00e4\n,{i}" for i in range(w, n, 3)] for w in range(3)] + [[]] and {r["error"] for r in own} == {"boom"}
+    made = json.loads(target.read_text())
+    starts = [f["fragments"][0]["start_offset"] for f in made["files"]]
+    assert starts == list(range(n)) and made["error"] == "late; boom" and max(most) <= 4
+    assert got == [(i, f["filename"]) for i, f in enumerate(made["files"])]
+
+
 def test_fragments_layout_and_totals(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (1, 30, 40), (2, 5, 6)], "f int, start_offset long, end_offset long")
     got = sorted((r["f"], r["fragment_id"], r["start_offset"], r["end_offset"], r["size"]) for r in report.coalesced(df, "f").collect())
