@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -111,15 +111,21 @@ def blocks(got: Found, opt: CarveOptions) -> list[tuple[int, int, int]]:
     return [(s, e, e - s) for s, e in [(got.start, got.start + 1), *spans]]
 
 
+def _lists(rows: list, kind: pa.ListType) -> pa.ListArray:
+    """Lists of triples, by column: no Python object for each struct."""
+    columns = [*zip(*chain.from_iterable(rows), strict=True)] or [()] * 3
+    flat = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=[*kind.value_type])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), flat)
+
+
 def found_rows(found: list[Found], opt: CarveOptions) -> list[pa.Array]:
-    cols = (
-        [f.start for f in found], [f.format for f in found], [f.status for f in found],
-        [[{"start_offset": s, "end_offset": e, "size": e - s} for s, e in f.fragments] for f in found],
-        [[{"start_offset": s, "end_offset": e, "zeros": z} for s, e, z in f.pieces] for f in found],
-        [f.total for f in found], [f.resume for f in found],
-        [[{"start_offset": s, "end_offset": e, "size": n} for s, e, n in blocks(f, opt)] for f in found],
-    )
-    return [pa.array(c, t) for c, (_, t) in zip(cols, ARROW, strict=True)]
+    nested = {
+        "fragments": [[(s, e, e - s) for s, e in f.fragments] for f in found],
+        "pieces": [f.pieces for f in found],
+        "blocks": [blocks(f, opt) for f in found],
+    }
+    flat = {"start_offset": [f.start for f in found], "format": [f.format for f in found], "status": [f.status for f in found], "total_size": [f.total for f in found], "resume": [f.resume for f in found]}
+    return [_lists(nested[n], t) if n in nested else pa.array(flat[n], t) for n, t in ARROW]
 
 
 def numbered(found: DataFrame, worker: Column) -> DataFrame:
@@ -133,11 +139,16 @@ def numbered(found: DataFrame, worker: Column) -> DataFrame:
 def search(data: bytes, formats: list[Format]) -> list[tuple[int, int]]:
     """Hits in a value that is in memory: (offset, format's index), by offset, longest signature and priority."""
     out = []
+    low = data.lower() if any(f.text for f in formats) else data
     for k, f in enumerate(formats):
+        hay = low if f.text else data
         for sig in f.signatures:
-            for m in re.finditer(re.escape(sig), data, re.I if f.text else 0):
-                if m.start() >= f.lead:
-                    out.append((m.start() - f.lead, -len(sig), k))
+            what, n = sig.lower() if f.text else sig, len(sig)
+            at = hay.find(what)
+            while at >= 0:
+                if at >= f.lead:
+                    out.append((at - f.lead, -n, k))
+                at = hay.find(what, at + max(1, n))
     return [(a, k) for a, _, k in sorted(out)]
 
 

@@ -259,13 +259,17 @@ def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MERGED = f"WITH {_BROKEN} SELECT CAST(row_number() OVER (ORDER BY start_offset) - 1 AS INTEGER) AS rank, 'carved_w' || worker_id || '_' || file_id || '.json' AS filename, 'complete' AS status, CASE WHEN k > 1 THEN 2 ELSE 1 END AS n_fragments, n + CASE WHEN k > 1 THEN {SMALL} ELSE 0 END AS total_size FROM u"
 
+TASK_KEYS = 20_000
 _TEXTS = (("xml", '<?xml version="1.0"?><row><id>#</id><!-- <p> --><name>name #</name></row>'), ("html", "<!DOCTYPE html><html><body><p>line<br># <i>x</i></p></body></html>"), ("json", '{"id":#,"name":"a \\" #","list":[1,{"b":2}]}'), ("rtf", "{\\rtf1 {\\b bold #} \\{ # }"))
 
 
 def text_walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of each text format for each customer: whole, whole with text after it, or cut short."""
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, t in _TEXTS])).alias("x")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", kinds).select(F.concat_ws(":", "x.kind", "c_custkey").alias("name"), F.col("c_custkey") % 3, F.replace("x.t", F.lit("#"), F.col("c_custkey").cast("string"))).toDF("name", "how", "t")
+    # few tasks read so narrow a table: keys are spread before they become texts, TASK_KEYS to a task at most
+    keys = _table(spark, sf_dir, "customer").select("c_custkey")
+    keys = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_KEYS)), "c_custkey")
+    rows = keys.select("c_custkey", kinds).select(F.concat_ws(":", "x.kind", "c_custkey").alias("name"), F.col("c_custkey") % 3, F.replace("x.t", F.lit("#"), F.col("c_custkey").cast("string"))).toDF("name", "how", "t")
     value = F.when(F.col("how") == 0, F.expr("substring(t, 1, length(t) - 3)")).when(F.col("how") == 1, F.concat("t", F.when(F.startswith("name", F.lit("json")), F.lit(" \n ")).otherwise(F.lit(" and more")))).otherwise(F.col("t"))
     files = carve.carve_values(rows.withColumn("value", value), "name", "value", CarveOptions(formats=("xml", "html", "json", "rtf")))
     return files.select(F.col("image").alias("name"), "file_id", "format", "status", "total_size")

@@ -37,3 +37,13 @@ def test_query_matches_sql(spark, name):
 def test_pages_as_images(spark):
     rows = queries.carve_pages(spark, SF).collect()
     assert rows and {r["format"] for r in rows} <= {"xml", "html", "json", "rtf", "pdf"}
+
+
+def test_text_walkers_spread_the_keys_of_a_small_file(spark, monkeypatch):
+    seen = []
+    whole = queries.carve.carve_values
+    monkeypatch.setattr(queries, "TASK_KEYS", 10)
+    monkeypatch.setattr(queries.carve, "carve_values", lambda rows, *more: seen.append(rows) or whole(rows, *more))
+    got = queries.text_walkers(spark, SF).count()
+    keys = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert got == 4 * keys and seen[0].rdd.getNumPartitions() == -(-keys // 10) > 4

@@ -1,6 +1,7 @@
 """Structure of single files: every sample whole, cut anywhere, and broken."""
 
 import random
+import re
 import struct
 
 import pytest
@@ -269,3 +270,12 @@ def test_box_boundary_in_the_last_bytes_of_a_cluster(name):
         assert [(f.status, body) for f, body in carved(data + bytes(1024), 512, formats=(name,))] == [("complete", data)]
         # at the end of the image a few zeros are no box
         assert [f.status for f, _ in carved(data + bytes(5), 512, formats=(name,))] == ["complete"]
+
+
+def test_search_finds_what_expressions_find():
+    rng, formats = random.Random(4), CarveOptions().active()
+    sigs = [s for f in formats for s in f.signatures]
+    for _ in range(200):
+        data = b"".join(rng.choice([rng.choice(sigs), rng.choice(sigs).upper(), rng.randbytes(rng.randint(0, 9)), b'{"{"', b"\0\0\0"]) for _ in range(rng.randint(0, 40)))
+        found = [(m.start() - f.lead, -len(s), k) for k, f in enumerate(formats) for s in f.signatures for m in re.finditer(re.escape(s), data, re.I if f.text else 0) if m.start() >= f.lead]
+        assert search(data, formats) == [(a, k) for a, _, k in sorted(found)]
